@@ -12,7 +12,7 @@
 
 Recall is measured against brute force in the tests (at least 0.99 there). Vectors that are
 null, zero, or hold null or non-finite values link with nothing, and so do vectors of
-unlike length. Repeated rows are further copies. An empty table gives no rows.
+unlike length and rows without vec_id. Repeated rows are further copies. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -143,7 +143,7 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, trees: i
     norm = F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
     finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select("vec_id", embedding.alias("embedding"))
-    rows = rows.withColumn("sound", F.coalesce(finite & (norm > 0), F.lit(False)))
+    rows = rows.withColumn("sound", F.coalesce(finite & (norm > 0) & F.col("vec_id").isNotNull(), F.lit(False)))
     sound = rows.where("sound")
     classes = stored(
         sound.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")), "vector-classes"
@@ -181,4 +181,4 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, trees: i
     )
     linked = sound.join(named, "embedding").select("vec_id", "n_links", "component_id")
     alone = rows.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
