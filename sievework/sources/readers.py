@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 
-BAD = "_bad_record"
-
 
 def json_lines(spark: SparkSession, path: str | Sequence[str], schema: str, lenient: bool = False) -> DataFrame:
     """One record a line; blank lines are skipped. A bad line fails the read, or is left
@@ -24,12 +22,8 @@ def json_lines(spark: SparkSession, path: str | Sequence[str], schema: str, leni
 def json_array(spark: SparkSession, path: str, schema: str, lenient: bool = False) -> DataFrame:
     """A file that is one array of objects. Elements that are no objects fail the read, or
     are left out if ``lenient``."""
-    wide = f"{schema}, {BAD} string"
-    rows = spark.read.schema(wide).option("multiLine", True).option("columnNameOfCorruptRecord", BAD).json(path)
-    good = F.col(BAD).isNull()
-    if not lenient:
-        good = good | F.raise_error(F.concat(F.lit(f"{path}: no array of objects: "), F.substring(BAD, 1, 200))).isNull()
-    return rows.where(good).drop(BAD)
+    mode = "DROPMALFORMED" if lenient else "FAILFAST"
+    return spark.read.schema(schema).option("multiLine", True).json(path, mode=mode)
 
 
 ARRAY_FORMATS = ("structeval_json", "structeval-t", "structeval_t")
@@ -60,7 +54,10 @@ def data_files(paths: Iterable[str], suffix: str) -> list[str]:
             found += sorted(name for name in inside if name.endswith(suffix))
         elif os.path.isfile(path) and path.endswith(suffix):
             found.append(path)
-    return list({os.path.realpath(name): name for name in reversed(found)}.values())[::-1]
+    once: dict[str, str] = {}
+    for name in found:
+        once.setdefault(os.path.realpath(name), name)
+    return list(once.values())
 
 
 def first_existing(candidates: Iterable[str | None]) -> str | None:
@@ -97,16 +94,15 @@ def csv_summaries(spark: SparkSession, path: str, schema: str = schemas.ESCAPE_S
 def run_summaries(spark: SparkSession, folder: str) -> DataFrame:
     """``*.summary.json`` below a folder, with run and stage from the path; bad files go."""
     rows = (
-        spark.read.schema(f"{schemas.RUN_SUMMARY}, {BAD} string")
+        spark.read.schema(schemas.RUN_SUMMARY)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.summary.json")
         .option("multiLine", True)
-        .option("columnNameOfCorruptRecord", BAD)
-        .json(folder)
+        .json(folder, mode="DROPMALFORMED")
         .withColumn("path", F.col("_metadata.file_path"))
     )
     parts = F.split("path", "/")
-    return rows.where(F.col(BAD).isNull()).select(
+    return rows.select(
         F.try_element_at(parts, F.lit(-2)).alias("run_id"),
         F.regexp_extract(F.try_element_at(parts, F.lit(-2)), r"^\d{8}_\d{6}_([A-Za-z0-9]+)", 1).alias("stage"),
         "n",
