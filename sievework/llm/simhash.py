@@ -10,7 +10,8 @@
    triangle inequality, and the inner one is sent to the outer side as well. So each
    linked pair meets in some leaf, exactly, and the leaves are the shards.
 5. In a leaf a vantage-point tree of the leaf's own points leaves blocks small enough to
-   compare. A leaf gives each point the least point it is connected to there, not pairs.
+   compare. A leaf beyond ``CHUNK`` points (near copies that no vantage point parts) is cut
+   into chunks, each two of which meet in a task of their own. A leaf gives each point the least point it is connected to there, not pairs.
 6. ``components``: these links are joined over the leaves by alternating star steps.
 
 Null and empty texts have fingerprint zero and are linked like any other. Repeated rows
@@ -36,6 +37,8 @@ RADIUS = 3
 #: Points on which the shared tree is grown, and points that a leaf should hold.
 SAMPLE = 20_000
 LEAF = 4_000
+#: Points of a leaf above which it is cut into chunks that meet two by two.
+CHUNK = 8_000
 #: Size below which a block is compared point by point.
 BLOCK = 512
 
@@ -217,8 +220,23 @@ def linked(points: DataFrame, reach: int = RADIUS) -> DataFrame:
     sample = np.sort(table.column("point").to_numpy()).view(np.uint64)[:, None]
     tree, leaves = grow(sample, max(16.0, LEAF * len(sample) / max(n, 1)), reach)
     sent = spark.sparkContext.broadcast(tree)
-    routed = points.select("point").mapInArrow(_routed(sent, reach), "leaf int, point long")
-    return routed.groupBy("leaf").applyInPandas(_leaf_links(reach), "a long, b long")
+    routed = stored(points.select("point").mapInArrow(_routed(sent, reach), "leaf int, point long"), "routed")
+    # One row for each leaf of the tree, whose number the sample bounds.
+    sizes = routed.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    return in_chunks(routed, sizes, "leaf", "point").groupBy("leaf", "first", "second").applyInPandas(
+        _leaf_links(reach), "a long, b long"
+    )
+
+
+def in_chunks(rows: DataFrame, sizes: DataFrame, shard: str, point: str) -> DataFrame:
+    """Rows of a shard of several ``chunks`` dealt so that each two chunks meet in a task
+    (``first``, ``second``) of their own."""
+    dealt = rows.join(F.broadcast(sizes), shard)
+    own = F.pmod(F.xxhash64(F.lit(9), point), F.col("chunks")).cast("int")
+    dealt = dealt.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return dealt.select(
+        shard, point, F.least("_own", "_other").alias("first"), F.greatest("_own", "_other").alias("second")
+    )
 
 
 def near_duplicates(docs: DataFrame, n_words: int = WORDS, reach: int = RADIUS) -> DataFrame:
