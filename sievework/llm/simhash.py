@@ -109,30 +109,43 @@ class Node:
         self.vantage, self.radius, self.inner, self.outer = None, -1, None, None
 
 
-def split(points: np.ndarray, reach: int, rng: np.random.Generator) -> tuple[np.ndarray, int] | None:
-    """The vantage point and radius with the fewest points to send to both sides for the
-    information gained; None if no split tells points apart without sending them all."""
-    best, least, bits = None, 0.9, 64 * points.shape[1]
+def split(
+    points: np.ndarray, reach: int, rng: np.random.Generator, cost: Callable, most: float
+) -> tuple[np.ndarray, int] | None:
+    """The vantage point and radius of the least ``cost(inner, outer)``, given the shares
+    of points that each side gets (the outer side with those ``reach`` inside the radius).
+    None if no split costs less than ``most`` or makes both sides smaller."""
+    best, bits = None, 64 * points.shape[1]
     for vantage in points[rng.integers(len(points), size=12)]:
-        seen = np.bincount(distances(points, vantage), minlength=bits + 1).cumsum() / len(points)
-        for radius in range(bits + 1):
-            inner = seen[radius]
-            if not 0.02 <= inner <= 0.98:
-                continue
-            both = inner - (seen[radius - reach] if radius >= reach else 0.0)
-            gain = -(inner * np.log2(inner) + (1 - inner) * np.log2(1 - inner))
-            if both / gain < least:
-                best, least = (vantage, radius), both / gain
+        inner = np.bincount(distances(points, vantage), minlength=bits + 1).cumsum() / len(points)
+        outer = 1 - np.concatenate([np.zeros(reach), inner[:-reach]])
+        real = np.flatnonzero((inner >= 0.02) & (inner <= 0.98) & (outer <= 0.98))
+        if len(real):
+            costs = cost(inner[real], outer[real])
+            at = int(costs.argmin())
+            if costs[at] < most:
+                best, most = (vantage, int(real[at])), costs[at]
     return best
 
 
+def _copies_per_bit(inner: np.ndarray, outer: np.ndarray) -> np.ndarray:
+    """Points sent to both sides for the information that a shared split gains."""
+    gain = -(inner * np.log2(inner) + (1 - inner) * np.log2(1 - inner))
+    return (inner + outer - 1) / gain
+
+
+def _comparisons(inner: np.ndarray, outer: np.ndarray) -> np.ndarray:
+    """Comparisons left by a split, as a share of those without it."""
+    return inner**2 + outer**2
+
+
 def grow(sample: np.ndarray, leaf: float, reach: int = RADIUS, seed: int = 1) -> tuple[Node, int]:
     """The tree whose leaves hold about ``leaf`` of the sample, and the number of leaves."""
     rng, leaves = np.random.default_rng(seed), 0
 
     def below(points: np.ndarray) -> Node:
         nonlocal leaves
-        found = split(points, reach, rng) if len(points) > leaf else None
+        found = split(points, reach, rng, _copies_per_bit, 0.9) if len(points) > leaf else None
         if found is None:
             leaves += 1
             return Node(leaves - 1)
@@ -179,7 +192,7 @@ def close_pairs(points: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np
     waiting = [np.arange(len(points))]
     while waiting:
         at = waiting.pop()
-        found = split(points[at], reach, rng) if len(at) > BLOCK else None
+        found = split(points[at], reach, rng, _comparisons, 0.85) if len(at) > BLOCK else None
         if found is None:
             for begin in range(0, len(at), BLOCK):
                 rows = at[begin : begin + BLOCK]

@@ -135,3 +135,15 @@ def test_embeddings(spark):
 
 def test_bits_of_a_similarity():
     assert 70 < simhash_text.expected_bits(0.8) < 110
+
+
+def test_dense_points_end(spark):
+    """Points of which many lie within the reach of each other part no further, and end."""
+    rng = np.random.default_rng(5)
+    dense = np.zeros(2000, np.uint64)
+    for _ in range(2):
+        dense ^= np.uint64(1) << rng.integers(0, 63, len(dense)).astype(np.uint64)
+    points = np.unique(np.concatenate([dense, rng.integers(0, 2**63, 500, dtype=np.uint64)]))
+    found = simhash.local_components(len(points), simhash.close_pairs(points[:, None], 3))
+    away = np.bitwise_count(points[:, None] ^ points[None, :])
+    assert found.tolist() == closure(len(points), zip(*np.nonzero(np.triu(away <= 3, 1))))
