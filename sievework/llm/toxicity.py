@@ -2,14 +2,15 @@
 
 Features are the words of a text and the beginnings of its words (3 to 8 letters), as
 present or absent; whole texts are read. Those that tell the labelled classes apart best
-are kept (``FEATURES`` at most), counted over the labelled sample by the executors.
+are kept (by the likelihood-ratio statistic, ``FEATURES`` at most), counted over the
+labelled sample by the executors.
 
 The model has one weight for each feature and ordered thresholds t1 <= t2 <= ..., with
 P(grade >= k) = sigmoid(w.x - t_k): all thresholds share the weights. The output is the
 expected grade, that is the sum of these probabilities.
 
 Labels say toxic or not. Grades are 0 for clean texts; toxic texts are split into 1 and 2
-at the median share of words that begin like features typical of toxic texts. A text is
+at the median number of their distinct words with a typical feature. A text is
 rejected at an expected grade of ``REJECT`` or more.
 
 The model is fitted on ``SAMPLE`` labelled rows at most, chosen by a hash of doc_id.
@@ -27,14 +28,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batched, stored, texts
 
 SAMPLE = 20_000
-FEATURES = 4_096
-REJECT = 0.5
+FEATURES = 2_048
+#: Likelihood-ratio statistic that a feature needs; chance reaches it in about one of two million.
+LEAST_GAIN = 25.0
+REJECT = 0.35
 _WORD = regex.compile(r"[^\W\d_]+")
 _LENGTHS = range(3, 9)
 
@@ -101,16 +104,14 @@ def _sparse(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {name: k for k, name in enumerate(names)}
         for batch in batched(batches):
-            rows, shares = [], []
+            rows, marked = [], []
             for text in texts(batch):
-                own = {at[x] for word in words_of(text) for x in features_of(word) if x in at}
-                rows.append(sorted(own))
-                every = _WORD.findall(text.lower())
-                marked = sum(any(x in at for x in features_of(word)) for word in every)
-                shares.append(marked / max(1, len(every)))
+                own = [[at[x] for x in features_of(word) if x in at] for word in words_of(text)]
+                rows.append(sorted({x for found in own for x in found}))
+                marked.append(sum(map(bool, own)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic"), pa.array(rows, pa.list_(pa.int32())), pa.array(shares, pa.float64())],
-                ["toxic", "features", "share"],
+                [batch.column("toxic"), pa.array(rows, pa.list_(pa.int32())), pa.array(marked, pa.int64())],
+                ["toxic", "features", "marked"],
             )
 
     return run
@@ -136,23 +137,28 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
         .agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
         .where("n >= 5")
     )
-    a, b = F.col("n_toxic") + 0.5, F.col("n") - F.col("n_toxic") + 0.5
-    odds = F.log(a / (toxic + 1)) - F.log(b / (n - toxic + 1))
-    best = counts.withColumn("gain", F.abs(odds) * F.sqrt(a)).where(odds > 1.0)
+    found = _surplus(F.col("n_toxic"), F.col("n"), toxic / n) + _surplus(F.col("n") - F.col("n_toxic"), F.col("n"), 1 - toxic / n)
+    best = counts.withColumn("gain", found).where((F.col("n_toxic") / F.col("n") > toxic / n) & (F.col("gain") >= LEAST_GAIN))
     names = [row["feature"] for row in best.orderBy(F.desc("gain"), "feature").limit(features).collect()]
-    table = rows.mapInArrow(_sparse(names), "toxic int, features array<int>, share double").toArrow()
+    if not names:
+        return Ordinal({}, [1e9, 1e9])
+    table = rows.mapInArrow(_sparse(names), "toxic int, features array<int>, marked long").toArrow()
     label = table.column("toxic").to_numpy().astype(np.int64)
-    share = table.column("share").to_numpy()
-    middle = np.median(share[label > 0])
-    grade = np.where(label > 0, 1 + (share > middle), 0)
+    marked = table.column("marked").to_numpy()
+    grade = np.where(label > 0, 1 + (marked > np.median(marked[label > 0])), 0)
     lists = table.column("features").combine_chunks()
     sizes_of = np.diff(lists.offsets.to_numpy())
     weights, thresholds = regress(sizes_of, lists.values.to_numpy(), grade, len(names))
     return Ordinal({name: float(w) for name, w in zip(names, weights)}, [float(t) for t in thresholds])
 
 
+def _surplus(seen: Column, n: Column, share: float) -> Column:
+    """One class's part of the likelihood-ratio statistic: what is seen against its share."""
+    return F.when(seen > 0, 2 * seen * F.log(seen / (n * share))).otherwise(0.0)
+
+
 def regress(
-    sizes: np.ndarray, columns: np.ndarray, grade: np.ndarray, n_features: int, steps: int = 400, decay: float = 2e-4
+    sizes: np.ndarray, columns: np.ndarray, grade: np.ndarray, n_features: int, steps: int = 600, decay: float = 3e-5
 ) -> tuple[np.ndarray, np.ndarray]:
     """Maximum likelihood of the cumulative-link model with a quadratic penalty, by Adam.
 
@@ -164,7 +170,6 @@ def regress(
     row, columns = row[order], columns[order]
     w, t = np.zeros(n_features), np.array([2.0, 0.5])
     m, v = np.zeros(n_features + 2), np.zeros(n_features + 2)
-    above = [(grade >= 1).astype(float), (grade >= 2).astype(float)]
     n = len(sizes)
     for step in range(1, steps + 1):
         x = np.bincount(row, weights=w[columns], minlength=n)
@@ -191,7 +196,6 @@ def regress(
         v = 0.999 * v + 0.001 * gradient**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, t = w - move[:-2], t - move[-2:]
-    del above
     return w, np.array([t[0], t[0] + np.exp(t[1])])
 
 
