@@ -388,6 +388,15 @@ def rate_or_null(top: Column, bottom: Column) -> Column:
     return F.when(bottom > 0, top / bottom)
 
 
+def number(value: Column | str) -> Column:
+    """A number, or null where the text is none."""
+    return strip(col(value).cast("string")).try_cast("double")
+
+
+def percent(value: Column | str, total: Column | float) -> Column:
+    return number(value) / total * 100
+
+
 def preview(value: Column | str, most: int, ellipsis: bool = False, flat: bool = False) -> Column:
     """The first ``most`` characters; ``flat`` writes line ends as two characters."""
     short = F.substring(text(value), 1, most)

@@ -122,6 +122,82 @@ def weight(given: Mapping[str, float], key: str, name: str) -> float:
     return float(next((given[x] for x in (*own, key) if x in given), WEIGHTS[key]))
 
 
+def combine(found: Mapping[str, float], config: Mapping[str, float], name: str | None) -> float:
+    """The reward of one completion; ``operators.scoring.combined`` is the same natively."""
+    name = reward_name(name)
+
+    def of(key: str) -> float:
+        return weight(config, key, name)
+
+    if found["parse"] < 1 and found["parse_best_effort"] < 1:
+        return of("p_parse_fail")
+    pairs = {
+        "w_parse": "parse",
+        "w_only": "only",
+        "w_match": "match",
+        "w_match_soft": "match_soft",
+        "w_schema_valid": "schema_valid",
+        "w_exact_authors_len_2": "authors_len_is_2",
+    }
+    total = 0.0 if found["parse"] >= 1 else of("p_parse_best_effort")
+    total += sum(of(key) * found[part] for key, part in pairs.items())
+    total += EXTRA_KEY * found["extra_keys"] + (of("w_no_extra_keys") if not found["extra_keys"] else 0.0)
+    total += of("p_only") if found["only"] < 1 else 0.0
+    total += style_reward(found, config, name)
+    return total + (of("p_extraneous") if found["extraneous"] >= 1 else 0.0)
+
+
+def style_reward(found: Mapping[str, float], config: Mapping[str, float], name: str) -> float:
+    """What the style of YAML and TOML adds."""
+    flags = {"YAML": ("yaml_indent_canonical", "yaml_block_style"), "TOML": ("toml_canonical",)}.get(name, ())
+    total = 0.0
+    for flag in flags:
+        total += weight(config, f"w_{flag}", name) * found[flag]
+        total += weight(config, f"p_{flag}_fail", name) if found[flag] < 1 else 0.0
+    if name == "TOML":
+        soft = found["toml_canonical_soft"]
+        total += weight(config, "w_toml_canonical_soft", name) * soft
+        total += weight(config, "p_toml_canonical_soft_scale", name) * (1 - soft)
+    return total
+
+
+def reward_function(config: Mapping[str, float], **options: Any):
+    """A reward callable for a trainer: ``(prompts, completions, **columns) -> rewards``.
+
+    Columns, each a list or one value for all: raw_output_metric, output_type,
+    reference_output; they may also come inside ``batch``.
+    """
+
+    def run(prompts: Sequence[str], completions: Sequence[str], **columns: Any) -> list[float]:
+        given = {**(columns.get("batch") or {}), **columns}
+
+        def of(name: str, k: int) -> Any:
+            value = given.get(name)
+            return value[k] if isinstance(value, (list, tuple)) and k < len(value) else value
+
+        return [
+            one_reward(text, of("raw_output_metric", k), of("output_type", k), of("reference_output", k), config, **options)
+            for k, text in enumerate(completions)
+        ]
+
+    return run
+
+
+def one_reward(
+    text: str, paths: Any, name: str | None, reference: str | None, config: Mapping[str, float], **options: Any
+) -> float:
+    """With key paths the key score of the payload and its style, else the components."""
+    name = kind(name)
+    listed = [str(path) for path in paths] if isinstance(paths, (list, tuple)) else []
+    if not listed:
+        return combine(components(text, name, reference, **options), config, name)
+    body, extraneous = payload(text, name)
+    found = components(body, name)
+    silent = {key: 0.0 for key in WEIGHTS} | dict(config)
+    total = key_score(body, listed, name)["final_eval_score"] + style_reward(found, silent, name)
+    return total + (weight(silent, "p_extraneous", name) if extraneous else 0.0)
+
+
 def judge_key_text(provider: str, model: str, content: Mapping[str, Any]) -> str:
     """What a judge's answer is filed under, before hashing."""
     return f"{provider}\0{model}\0{json.dumps(content, sort_keys=True, ensure_ascii=False)}"

@@ -7,6 +7,7 @@ make the optimizer evaluate the function twice.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from typing import Any
 
@@ -190,6 +191,27 @@ def _equivalence(prompt: str | None, name: str | None, output: str | None) -> di
 equivalence = arrow(_equivalence, "result string, score double, reason string")
 
 
+def _pseudo(text: str | None, name: str | None) -> dict[str, Any]:
+    """A teacher's generation: JSON leniently and written anew, others whole."""
+    text, name = (text or "").strip(), (name or "").upper()
+    body = formats.without_fences(text)
+    found = formats.strict(text if name == "JSON" else body, name)
+    loose = formats.lenient(text, name) if name == "JSON" and not found.ok else found
+    used = (loose.used or body).strip()
+    value = json.dumps(loose.value, ensure_ascii=False) if name == "JSON" and loose.ok and loose.value is not None else used
+    return {
+        "ok": loose.ok,
+        "strict": found.ok,
+        "used": used if name == "JSON" else body,
+        "output": value if loose.ok else "",
+        "only": loose.ok and formats.nothing_else(used if name == "JSON" else body, name),
+        "error": loose.error or "",
+    }
+
+
+pseudo_parse = arrow(_pseudo, "ok boolean, strict boolean, used string, output string, only boolean, error string")
+
+
 def _keep(prompt: str | None, name: str | None, output: str | None) -> dict[str, Any]:
     return dict(zip(("keep", "reason"), prompts.keep(prompt, name, output or "")))
 

@@ -230,6 +230,12 @@ def limited(rows: DataFrame, n: int, seed: int | None = None, by: str = "task_id
     return rows.orderBy(*([shuffled(seed, by)] if seed is not None else []), by).limit(n)
 
 
+def first_then_shuffled(rows: DataFrame, most: int | None, seed: int, by: str = "task_id") -> DataFrame:
+    """The first ``most`` rows in the order of ``by``, and only then shuffled."""
+    first = rows.orderBy(by).limit(most) if most else rows
+    return first.orderBy(shuffled(seed, by), by)
+
+
 def limited_per_type(rows: DataFrame, n: int, types: Sequence[str], seed: int | None = None, by: str = "task_id") -> DataFrame:
     """Up to ``n`` rows of each type, seeded or in the order of ``by``, in ``place`` of the types."""
     kind = F.upper(F.trim(F.coalesce("output_type", F.lit("JSON"))))

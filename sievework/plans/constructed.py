@@ -477,6 +477,25 @@ QUERIES: dict[str, Constructed] = {
             ),
         ],
     ),
+    "pseudo_parses": Constructed(
+        "txt string, kind string",
+        "ok boolean, strict boolean, output string, only_ok boolean",
+        lambda rows: struct(lambda: udfs.pseudo_parse("txt", "kind"), "ok", "strict", "output", "only")(rows).withColumnRenamed("only", "only_ok"),
+        [
+            Case((' {"a":1} ', "json"), (True, True, '{"a": 1}', True)),
+            Case(('Sure {"a":1}', "json"), (True, False, '{"a": 1}', True)),
+            Case((f"{T}yaml\na: 1\n{T}", "yaml"), (True, True, "a: 1", True)),
+            Case(("prose", "yaml"), (True, True, "prose", False)),
+            Case(("a = ", "toml"), (False, False, "", False)),
+            Case(("", "csv"), (False, False, "", False)),
+        ],
+    ),
+    "numbers": Constructed(
+        "txt string",
+        "pct double",
+        add(pct=lambda: F.round(C.percent("txt", F.lit(50)), 6)),
+        [Case((" 12 ",), (24.0,)), Case(("x",), (None,)), Case(("1e1",), (20.0,)), Case((None,), (None,))],
+    ),
     "toml_repairs": Constructed(
         "output string, output_type string",
         "output string",

@@ -79,6 +79,27 @@ def exported_split(spark: SparkSession, folder: str, split: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{split_name(split, names)}.parquet"))
 
 
+def zipped_arrow(spark: SparkSession, path: str, split: str, target: str) -> DataFrame:
+    """The ``*-<split>.arrow`` streams of a zip file, rewritten as Parquet at ``target``
+    batch by batch (Spark has no reader of Arrow files), and read from there."""
+    import zipfile
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    with zipfile.ZipFile(path) as archive:
+        names = sorted(name for name in archive.namelist() if name.endswith(f"-{split}.arrow"))
+        if not names:
+            raise FileNotFoundError(f"no *-{split}.arrow inside {path}")
+        os.makedirs(target)
+        for k, name in enumerate(names):
+            with archive.open(name) as file, pa.ipc.open_stream(file) as stream:
+                with pq.ParquetWriter(os.path.join(target, f"{k:05d}.parquet"), stream.schema) as writer:
+                    for batch in stream:
+                        writer.write_batch(batch)
+    return spark.read.parquet(target)
+
+
 def csv_summaries(spark: SparkSession, path: str, schema: str = schemas.ESCAPE_STATS) -> DataFrame:
     """CSV files with a header, united, with ``source_file``. A missing column is an error."""
     wanted = [part.split()[0] for part in schema.split(",")]
