@@ -43,10 +43,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
     This cuts lineage: a lost executor costs no more than the reading of a file, and
-    expensive Python stages run once however often the result is used.
+    expensive Python stages run once however often the result is used. Results are lazy
+    and read these files later, so they stay; all files of an application lie in one
+    folder, ``sievework-<application id>``, which may go when the application has ended.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/sievework-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -107,24 +109,32 @@ def spread(column: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(7), column), F.lit(parts)).cast("int")
 
 
+#: Rows of a group for which ``gapless`` adds a part.
+PART_ROWS = 100_000
+
+
 def gapless(df: DataFrame, group: str, order: list[str], name: str, parts: int = 64) -> DataFrame:
     """Adds ``name``: a rank from 0 without gaps inside each ``group``.
 
-    Two levels, so that a hot group is never one task: a row number inside
-    (group, part), plus the counts of the group's earlier parts. The table of counts has
-    at most groups x ``parts`` rows, and the callers' groups are bounded.
+    Two levels, so that a hot group is never one task: a row number inside (group, part),
+    plus the counts of the group's earlier parts. A group has ``parts`` parts and one more
+    for every ``PART_ROWS`` rows, so a part stays small however large the group is. The
+    callers' groups are bounded in number; the table of counts that goes to all tasks has
+    groups x ``parts`` rows, and one for every ``PART_ROWS`` rows of the input.
     """
     from pyspark.sql import Window
 
     part = f"_{name}_part"
-    df = df.withColumn(part, spread(F.struct(*order), parts))
-    counts = df.groupBy(group, part).count()
+    sizes = df.groupBy(group).agg((F.floor(F.count("*") / PART_ROWS) + parts).cast("int").alias("_parts"))
+    dealt = df.join(F.broadcast(sizes), group)
+    dealt = dealt.withColumn(part, F.pmod(F.xxhash64(F.lit(7), *order), F.col("_parts")).cast("int")).drop("_parts")
+    counts = dealt.groupBy(group, part).count()
     before = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(
         F.col(group), F.col(part), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before")
     )
     inside = Window.partitionBy(group, part).orderBy(*order)
-    ranked = df.withColumn("_inside", F.row_number().over(inside))
+    ranked = dealt.withColumn("_inside", F.row_number().over(inside))
     joined = ranked.join(F.broadcast(counts), [group, part])
     return joined.withColumn(name, (F.col("_before") + F.col("_inside") - 1).cast("long")).drop(
         part, "_before", "_inside"
