@@ -34,11 +34,11 @@ from .graph import components, local_components
 
 WORDS = 3
 RADIUS = 3
-#: Points on which the shared tree is grown, and points that a leaf should hold.
+#: Points on which the shared tree is grown, and points that a leaf should get, copies included.
 SAMPLE = 20_000
-LEAF = 4_000
+LEAF = 24_000
 #: Points of a leaf above which it is cut into chunks that meet two by two.
-CHUNK = 8_000
+CHUNK = 60_000
 #: Size below which a block is compared point by point.
 BLOCK = 512
 
@@ -140,7 +140,8 @@ def _comparisons(inner: np.ndarray, outer: np.ndarray) -> np.ndarray:
 
 
 def grow(sample: np.ndarray, leaf: float, reach: int = RADIUS, seed: int = 1) -> tuple[Node, int]:
-    """The tree whose leaves hold about ``leaf`` of the sample, and the number of leaves."""
+    """The tree whose leaves get up to about ``leaf`` of the sample, points that cross
+    boundaries included, and the number of leaves."""
     rng, leaves = np.random.default_rng(seed), 0
 
     def below(points: np.ndarray) -> Node:
@@ -152,7 +153,7 @@ def grow(sample: np.ndarray, leaf: float, reach: int = RADIUS, seed: int = 1) ->
         node = Node()
         node.vantage, node.radius = found
         away = distances(points, node.vantage)
-        node.inner, node.outer = below(points[away <= node.radius]), below(points[away > node.radius])
+        node.inner, node.outer = below(points[away <= node.radius]), below(points[away > node.radius - reach])
         return node
 
     return below(sample), leaves
