@@ -126,7 +126,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
         .orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id")
         .limit(sample)
     )
-    rows = stored(docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic"), "toxic-sample")
+    # At most ``sample`` rows of two numbers go to all tasks; the texts are not shuffled.
+    rows = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxic-sample")
     sizes = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     n, toxic = sizes["n"] or 0, sizes["toxic"] or 0
     if not 0 < toxic < n:
