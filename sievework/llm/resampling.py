@@ -159,7 +159,8 @@ def _prepared(docs: DataFrame, labels: DataFrame, sample: int, seed: int):
         .orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id")
         .limit(sample)
     )
-    rows = stored(docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "quality"), "quality-sample")
+    # At most ``sample`` rows of two numbers go to all tasks; the texts are not shuffled.
+    rows = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality"), "quality-sample")
     n, good = rows.agg(F.count("*"), F.coalesce(F.sum("quality"), F.lit(0))).first()
     raw = model(docs)
     target = model(rows.where("quality = 1")) if good else raw
