@@ -260,7 +260,7 @@ def training_to_tasks(rows: DataFrame, prefix: str = "offline_") -> DataFrame:
 
 
 def benchmark_tasks(rows: DataFrame) -> DataFrame:
-    """The ten fields of a benchmark task, with defaults for what is missing."""
+    """The ten fields of a benchmark task, with defaults (fixed values) for what is missing."""
     defaults = {
         "task_id": F.lit(""),
         "task_name": F.lit("StructEval"),

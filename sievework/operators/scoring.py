@@ -52,7 +52,7 @@ def diagnosed(rows: DataFrame, generation: str = "generation", kind: str = "outp
     """Key score and reward components side by side, under a struct for each."""
     parts = udfs.reward_components()(F.col(generation), F.col(kind), F.lit(None).cast("string"))
     score = udfs.key_score(F.col(generation), F.col("raw_output_metric"), F.col(kind))
-    return rows.withColumn("structeval_t", score).withColumn("components", parts)
+    return rows.withColumn("key_score", score).withColumn("components", parts)
 
 
 def combined(config: Mapping[str, float] | None = None, kind: Column | str = "output_type") -> Column:

@@ -256,7 +256,7 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"{COMPLETIONS} SELECT id, output_type, render_score, key_score AS key_validation_score, round(final, 6) AS final_eval_score FROM scored"
 )
-def structeval_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+def key_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scoring.scored(_completions(spark, sf_dir))
     return found.select("id", "output_type", "render_score", "key_validation_score", six(F.col("final_eval_score")).alias("final_eval_score"))
 

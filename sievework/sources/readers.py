@@ -26,6 +26,7 @@ def json_array(spark: SparkSession, path: str, schema: str, lenient: bool = Fals
     return spark.read.schema(schema).option("multiLine", True).json(path, mode=mode)
 
 
+#: Names that configurations use for a file that is one array.
 ARRAY_FORMATS = ("structeval_json", "structeval-t", "structeval_t")
 
 

@@ -18,7 +18,7 @@ def test_native_reports_run_no_python(spark, name):
     assert "Python" not in text and "HashAggregate" in text
 
 
-@pytest.mark.parametrize("name", ["structeval_score", "reward_components", "json_validity", "cleaning_decisions"])
+@pytest.mark.parametrize("name", ["key_scores", "reward_components", "json_validity", "cleaning_decisions"])
 def test_texts_are_parsed_once(spark, name):
     assert plan(QUERIES[name](spark, SF)).count("ArrowEvalPython (") == 1
 
