@@ -108,13 +108,17 @@ def propagate(linked: DataFrame, quota: float, shards: int, rounds: int = ROUNDS
         votes = linked.groupBy("group", "shard").agg(F.count("*").alias("n"), F.min("size").alias("least"))
         # Ties between shards are broken by a hash, so that no shard is asked for more than others.
         tie = F.xxhash64("group", "shard")
-        # Only a shard that can take one more member is open to the group.
-        open_ = votes.join(F.broadcast(rooms.withColumnRenamed("wanted", "shard")), "shard").where("least <= room")
+        # A shard is open to a group if it can take one more member.
+        votes = votes.join(F.broadcast(rooms.withColumnRenamed("wanted", "shard")), "shard", "left")
+        votes = votes.withColumn("open", F.coalesce(F.col("least") <= F.col("room"), F.lit(False)))
+        open_ = votes.where("open")
         best = open_.groupBy("group").agg(F.max(F.struct("n", tie.alias("tie"), F.col("shard").alias("to"))).alias("best"))
         best = best.select("group", F.col("best.to").alias("wanted"), F.col("best.n").alias("most"), F.col("best.tie").alias("tie"))
+        # Of two equal parts of a group the one with the lower hash moves, or the one whose
+        # shard is full, as the other cannot come there.
+        equal = (F.col("most") == F.col("n")) & (~F.col("open") | (F.col("tie") > F.xxhash64("group", "shard")))
         here = votes.join(best, "group").where(
-            (F.col("shard") != F.col("wanted"))
-            & ((F.col("most") > F.col("n")) | ((F.col("most") == F.col("n")) & (F.col("tie") > F.xxhash64("group", "shard"))))
+            (F.col("shard") != F.col("wanted")) & ((F.col("most") > F.col("n")) | equal)
         )
         wishes = here.select("group", "shard", "wanted")
         marked = stored(linked.join(wishes, ["group", "shard"], "left"), "wishes")
