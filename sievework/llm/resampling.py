@@ -14,7 +14,7 @@ histograms; rows that tie with it are kept too.
 
 The noise comes from a hash of doc_id and text, so runs agree and repeated rows share
 their fate. Null and empty texts have importance 1. Without target rows all importances
-are 1; without labels, or without bad ones, all rows are kept.
+are 1; without labels, or without bad ones, all rows are kept. An empty table gives no rows.
 """
 
 from __future__ import annotations

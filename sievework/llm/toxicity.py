@@ -16,7 +16,7 @@ rejected at an expected grade of ``REJECT`` or more.
 The model is fitted on ``SAMPLE`` labelled rows at most, chosen by a hash of doc_id.
 Null and empty texts have no features and so the grade of the intercept. Rows without a
 label, labels without a row and null labels take no part in fitting; without both classes
-every text gets grade 0. Repeated rows are scored row by row.
+every text gets grade 0. Repeated rows are scored row by row; an empty table gives no rows.
 """
 
 from __future__ import annotations

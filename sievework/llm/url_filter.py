@@ -8,7 +8,7 @@ A rule fits its host and all subdomains of it if the url's path starts with the
 the longest rule that fits decides (rules of one length: the first in order). Other urls
 are judged by a logistic regression on hashed character n-grams (3 to 5 characters) of
 host and path, trained on a small table of labelled urls. Everything works row by row;
-repeated rows and further columns change nothing.
+repeated rows and further columns change nothing, and an empty table gives no rows.
 """
 
 from __future__ import annotations
