@@ -147,3 +147,30 @@ def test_dense_points_end(spark):
     found = simhash.local_components(len(points), simhash.close_pairs(points[:, None], 3))
     away = np.bitwise_count(points[:, None] ^ points[None, :])
     assert found.tolist() == closure(len(points), zip(*np.nonzero(np.triu(away <= 3, 1))))
+
+
+def edited_copies(seed, copies=150, words=80, run=3):
+    """A text and copies of it with a run of adjacent words replaced."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{k}" for k in rng.integers(0, 10**9, words)]
+    made = [" ".join(base)]
+    for _ in range(copies):
+        at = rng.integers(0, words - run + 1)
+        new = [f"n{k}" for k in rng.integers(0, 10**9, run)]
+        made.append(" ".join(base[:at] + new + base[at + run :]))
+    return made[1:]
+
+
+def groups_of(texts):
+    sets = [shingles(text) for text in texts]
+    return closure(len(sets), [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+
+
+def kept_ids(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted(r.doc_id for r in simhash_text.deduplicate(df.repartition(4)).select("doc_id").collect())
+
+
+def test_false_candidates_hide_no_pair_of_edited_copies(spark):
+    texts = [text for seed in range(6) for text in edited_copies(seed)]
+    assert kept_ids(spark, texts) == sorted(set(groups_of(texts)))
