@@ -174,3 +174,24 @@ def kept_ids(spark, texts):
 def test_false_candidates_hide_no_pair_of_edited_copies(spark):
     texts = [text for seed in range(6) for text in edited_copies(seed)]
     assert kept_ids(spark, texts) == sorted(set(groups_of(texts)))
+
+
+def test_short_texts_with_few_words_more_are_linked(spark):
+    rng = np.random.default_rng(3)
+    texts = []
+    for words, more in ((8, 1), (9, 1), (16, 3)):
+        for _ in range(300):
+            base = [f"w{k}" for k in rng.integers(0, 10**9, words + more)]
+            texts += [" ".join(base[:words]), " ".join(base)]
+    assert kept_ids(spark, texts) == list(range(0, len(texts), 2))
+
+
+def test_links_of_sets_are_brute_force():
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 3, 40, 120):
+        base = rng.integers(0, 2**62, 30)
+        sets = [np.unique(np.where(rng.random(30) < 0.08, rng.integers(0, 2**62, 30), base)) for _ in range(n)]
+        a, b = simhash_text.similar_links(sets, 0.8)
+        pairs = [(i, j) for i in range(n) for j in range(i) if len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]})]
+        assert closure(n, zip(a, b)) == closure(n, pairs)
+        assert len(a) == n - len(set(closure(n, pairs)))
