@@ -87,6 +87,15 @@ def byte_lengths(array: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(array), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def at_most(rows: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """Of stored ``rows`` about ``most``, by a hash of their place, and how many they were."""
+    n = rows.count()
+    if n <= most:
+        return rows, n
+    place = F.xxhash64(F.lit(19), F.monotonically_increasing_id()).bitwiseAND(F.lit(2**63 - 1))
+    return rows.where(place <= F.lit(int(2**63 * (most / n)) - 1)), n
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch; a null is an empty text."""
     return [x or "" for x in batch.column(column).to_pylist()]
@@ -109,6 +118,43 @@ def spread(column: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(7), column), F.lit(parts)).cast("int")
 
 
+#: Rows (of some 40 bytes) that are sent to all tasks at most; beyond, a shuffle join is used.
+SENT = 1_000_000
+#: The same where the rows of frequent keys alone are enough, and rows from which on a key is one.
+FEW, HOT = 100_000, 1_000
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a hint to send it to all tasks, if its counted rows are few enough."""
+    return F.broadcast(df) if rows <= SENT else df
+
+
+def joined(
+    left: DataFrame, right: DataFrame, on: list[str], name: str | None, weight: str, how: str = "inner"
+) -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each key; ``weight`` is its
+    column with the number of rows that the key has in ``left``, and is dropped.
+
+    No key is one task's work: ``right`` is stored (under ``name``; None: it is already) and
+    counted, and goes to all tasks if it has ``FEW`` rows at most. Beyond, its most frequent
+    keys do, at most ``FEW`` (those of over ``HOT`` rows, or 10, 100 ... times as many), and
+    the others meet in a shuffle. ``how`` is ``inner``, ``left`` or ``left_anti``.
+    """
+    right = stored(right, name) if name else right
+    rest = right.drop(weight)
+    if right.count() <= FEW:
+        return left.join(F.broadcast(rest), on, how)
+    least = HOT
+    while (n_hot := right.where(F.col(weight) > least).count()) > FEW:
+        least *= 10
+    if not n_hot:
+        return left.join(rest, on, how)
+    hot = right.where(F.col(weight) > least)
+    others = left.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    cold = others.join(right.where(F.col(weight) <= least).drop(weight), on, how)
+    return cold if how == "left_anti" else cold.unionByName(left.join(F.broadcast(hot.drop(weight)), on))
+
+
 #: Rows of a group for which ``gapless`` adds a part.
 PART_ROWS = 100_000
 
@@ -119,13 +165,16 @@ def gapless(df: DataFrame, group: str, order: list[str], name: str, parts: int =
     Two levels, so that a hot group is never one task: a row number inside (group, part),
     plus the counts of the group's earlier parts. A group has ``parts`` parts and one more
     for every ``PART_ROWS`` rows, so a part stays small however large the group is. The
-    callers' groups are bounded in number; the table of counts that goes to all tasks has
-    groups x ``parts`` rows, and one for every ``PART_ROWS`` rows of the input.
+    callers' groups are bounded in number; the table of counts has groups x ``parts`` rows,
+    and one for every ``PART_ROWS`` rows of the input. It goes to all tasks if these are
+    ``SENT`` at most, and is joined in a shuffle beyond.
     """
     from pyspark.sql import Window
 
     part = f"_{name}_part"
     sizes = df.groupBy(group).agg((F.floor(F.count("*") / PART_ROWS) + parts).cast("int").alias("_parts"))
+    sizes = stored(sizes, f"{name}-parts")
+    n_parts = sizes.agg(F.coalesce(F.sum("_parts"), F.lit(0))).first()[0]
     dealt = df.join(F.broadcast(sizes), group)
     dealt = dealt.withColumn(part, F.pmod(F.xxhash64(F.lit(7), *order), F.col("_parts")).cast("int")).drop("_parts")
     counts = dealt.groupBy(group, part).count()
@@ -135,7 +184,7 @@ def gapless(df: DataFrame, group: str, order: list[str], name: str, parts: int =
     )
     inside = Window.partitionBy(group, part).orderBy(*order)
     ranked = dealt.withColumn("_inside", F.row_number().over(inside))
-    joined = ranked.join(F.broadcast(counts), [group, part])
-    return joined.withColumn(name, (F.col("_before") + F.col("_inside") - 1).cast("long")).drop(
+    placed = ranked.join(sized(counts, n_parts), [group, part])
+    return placed.withColumn(name, (F.col("_before") + F.col("_inside") - 1).cast("long")).drop(
         part, "_before", "_inside"
     )

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import joined, stored
 
 
 def local_components(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -36,20 +36,22 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps: each step takes a minimum for each node
     (added up before the shuffle) and joins it back to the links, which stay as many or
-    fewer. The number of steps grows with the logarithm of a component's size. Each step is
-    stored, so a lost executor costs one step. Nothing is collected but two numbers.
+    fewer; the links of a hub are not one task's work (``joined``). The number of steps grows
+    with the logarithm of a component's size; a graph that does not settle in ``most_rounds``
+    of them is an error, never a cut result. Each step is stored, so a lost executor costs
+    one step. Nothing is collected but counts and sums.
     """
     edges = stored(_ordered(links.select("a", "b")), "edges")
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("least"))
-        least = least.withColumn("least", F.least("a", "least"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        large = _ordered(large)  # a > b: each node points to a smaller one
-        low = large.groupBy("a").agg(F.min("b").alias("least"))
-        small = large.join(low, "a")
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("least"), F.count("*").alias("links"))
+        large = joined(both.where("b > a"), least, ["a"], "large-star", "links")
+        large = stored(_ordered(large.select(F.col("b").alias("a"), F.col("least").alias("b"))), "large")
+        # a > b in each: every node points to a smaller one.
+        low = large.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("links"))
+        small = joined(large, low, ["a"], "small-star", "links")
         to_least = small.select(F.col("b").alias("a"), F.col("least").alias("b"))
-        made = to_least.unionByName(low.select("a", F.col("least").alias("b")))
+        made = to_least.unionByName(small.select("a", F.col("least").alias("b")))
         after = stored(_ordered(made), "edges")
         if _sums(after) == _sums(edges):
             return after.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(

@@ -5,22 +5,28 @@
 3. ``grow``: a vantage-point tree is grown on a bounded sample of the points. An inner
    node has a vantage point and a radius: points within the radius go to one side, the
    others to the other side. Radii are chosen where few points lie just inside.
-4. ``linked``: every point goes down the tree. Two linked points (``radius`` bits apart or
+4. ``routed``: every point goes down the tree. Two linked points (``radius`` bits apart or
    less) on different sides of a node lie within ``radius`` of its boundary, by the
    triangle inequality, and the inner one is sent to the outer side as well. So each
-   linked pair meets in some leaf, exactly, and the leaves are the shards.
+   linked pair meets in some leaf, exactly, and the leaves are the shards. A leaf that got
+   more than twice ``LEAF`` points gets a tree of its own, grown on a sample of the leaf in
+   an executor, level by level; so leaves do not grow with the corpus.
 5. In a leaf a vantage-point tree of the leaf's own points leaves blocks small enough to
-   compare. A leaf beyond ``CHUNK`` points (near copies that no vantage point parts) is cut
-   into chunks, each two of which meet in a task of their own. A leaf gives each point the least point it is connected to there, not pairs.
+   compare. A leaf beyond ``CHUNK`` points (also one of near copies that no vantage point
+   parts) is cut into chunks; each chunk is compared inside itself in one task, and each two
+   chunks against each other in another. A leaf gives each point the least point it is
+   connected to there, not pairs.
 6. ``components``: these links are joined over the leaves by alternating star steps.
 
-Null and empty texts have fingerprint zero and are linked like any other. Repeated rows
-are returned row by row. An empty table gives no rows.
+Null and empty texts have fingerprint zero and are linked like any other. Texts are taken
+whole, however long. Repeated rows are returned row by row; further columns are ignored,
+whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -29,16 +35,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, stored, texts
+from .common import batched, joined, sized, stored, texts
+from .forest import parted
 from .graph import components, local_components
 
 WORDS = 3
 RADIUS = 3
-#: Points on which the shared tree is grown, and points that a leaf should get, copies included.
+#: Points on which a tree is grown, and points that a leaf should get, copies included.
 SAMPLE = 20_000
 LEAF = 24_000
 #: Points of a leaf above which it is cut into chunks that meet two by two.
-CHUNK = 60_000
+CHUNK = 8_000
 #: Size below which a block is compared point by point.
 BLOCK = 512
 
@@ -55,19 +62,10 @@ def shingle_hashes(text: str, n_words: int, seed: int = 42) -> np.ndarray:
     return np.array([digest(part, seed) for part in parts], np.uint64)
 
 
-#: Odd multipliers that make further independent lanes out of one hash.
+#: Odd multipliers that make further independent hashes out of one.
 LANES = np.array([2 * xxhash.xxh64_intdigest(b"lane", k) + 1 & 2**64 - 1 for k in range(64)], np.uint64)
 
 
-def wide_fingerprint(hashes: np.ndarray, lanes: int) -> np.ndarray:
-    """``lanes`` fingerprints of 64 bits, each from its own mix of the hashes."""
-    found = []
-    for multiplier in LANES[:lanes]:
-        mixed = (hashes ^ (hashes >> np.uint64(29))) * multiplier
-        found.append(fingerprint((mixed ^ (mixed >> np.uint64(32))) * LANES[-1]))
-    return np.array(found, np.uint64)
-
-
 def fingerprint(hashes: np.ndarray) -> int:
     """A bit is 1 if more than half of the hashes have it."""
     ones = np.zeros(64, np.int64)
@@ -179,31 +177,39 @@ def _routed(tree, reach: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             route(tree.value, points, np.arange(len(points)), reach, out)
             for leaf, at in out:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), leaf, np.int32)), pa.array(points[at, 0].view(np.int64))],
+                    [pa.array(np.full(len(at), leaf, np.int64)), pa.array(points[at, 0].view(np.int64))],
                     ["leaf", "point"],
                 )
 
     return run
 
 
-def close_pairs(points: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close_pairs(
+    points: np.ndarray, reach: int, side: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks of positions (a, b) of points ``reach`` bits apart or less; together they
-    connect what is connected. Blocks above ``BLOCK`` are split by vantage points."""
+    connect what is connected. Blocks above ``BLOCK`` are split by vantage points. Where
+    ``side`` is given, only points of unlike sides are compared."""
     rng = np.random.default_rng(len(points))
     waiting = [np.arange(len(points))]
     while waiting:
         at = waiting.pop()
+        if side is not None and not 0 < side[at].sum() < len(at):
+            continue
         found = split(points[at], reach, rng, _comparisons, 0.85) if len(at) > BLOCK else None
         if found is None:
-            for begin in range(0, len(at), BLOCK):
-                rows = at[begin : begin + BLOCK]
-                rest = at[begin:]
+            left, right = (at, at) if side is None else (at[~side[at]], at[side[at]])
+            for begin in range(0, len(left), BLOCK):
+                rows = left[begin : begin + BLOCK]
+                rest = right[begin:] if side is None else right
                 away = np.zeros((len(rows), len(rest)), np.uint16)
                 for lane in range(points.shape[1]):
                     away += np.bitwise_count(points[rows, lane][:, None] ^ points[rest, lane][None, :])
                 a, b = np.nonzero(away <= reach)
-                later = b > a
-                yield rows[a[later]], rest[b[later]]
+                if side is None:
+                    later = b > a
+                    a, b = a[later], b[later]
+                yield rows[a], rest[b]
             continue
         vantage, radius = found
         away = distances(points[at], vantage)
@@ -212,19 +218,18 @@ def close_pairs(points: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np
 
 def _leaf_links(reach: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        points = np.unique(rows["point"].to_numpy())
-        least = local_components(len(points), close_pairs(points.view(np.uint64)[:, None], reach))
+        points, first = np.unique(rows["point"].to_numpy(), return_index=True)
+        mixed = rows["first"].iloc[0] != rows["second"].iloc[0]
+        side = (rows["own"].to_numpy() != rows["first"].iloc[0])[first] if mixed else None
+        least = local_components(len(points), close_pairs(points.view(np.uint64)[:, None], reach, side))
         other = least != np.arange(len(points))
         return pd.DataFrame({"a": points[other], "b": points[least[other]]})
 
     return run
 
 
-def linked(points: DataFrame, reach: int = RADIUS) -> DataFrame:
-    """``a, b``: links between distinct points that connect what ``reach`` connects.
-
-    ``points`` has the distinct points in a column ``point``.
-    """
+def in_leaves(points: DataFrame, reach: int = RADIUS) -> DataFrame:
+    """``leaf, point``: the distinct ``points``, each with every leaf that gets it."""
     spark = points.sparkSession
     n = points.count()
     # A fixed share of the hash range: a sample that no order of rows decides.
@@ -232,24 +237,71 @@ def linked(points: DataFrame, reach: int = RADIUS) -> DataFrame:
     of_hash = F.xxhash64(F.lit(11), "point").bitwiseAND(F.lit(2**63 - 1))
     table = points.where(of_hash <= share).select("point").limit(2 * SAMPLE).toArrow()
     sample = np.sort(table.column("point").to_numpy()).view(np.uint64)[:, None]
-    tree, leaves = grow(sample, max(16.0, LEAF * len(sample) / max(n, 1)), reach)
+    tree, _ = grow(sample, _leaf_of_sample(len(sample), n), reach)
     sent = spark.sparkContext.broadcast(tree)
-    routed = stored(points.select("point").mapInArrow(_routed(sent, reach), "leaf int, point long"), "routed")
-    # One row for each leaf of the tree, whose number the sample bounds.
-    sizes = routed.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    return in_chunks(routed, sizes, "leaf", "point").groupBy("leaf", "first", "second").applyInPandas(
-        _leaf_links(reach), "a long, b long"
+    open_ = stored(points.select("point").mapInArrow(_routed(sent, reach), "leaf long, point long"), "routed")
+    settled = []
+    for level in count(1):
+        sizes = open_.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > 2 * LEAF)
+        large = stored(sizes, "large-leaves")
+        n_large = large.count()
+        if not n_large:
+            break
+        settled.append(open_.join(sized(large, n_large), "leaf", "left_anti"))
+        parts = parted(open_, large, "point", SAMPLE, LEAF, _grown(reach), _sent_down(reach), "simhash", level)
+        settled.append(parts.where("leaves < 2").select("leaf", "point"))  # no vantage point parts these
+        open_ = parts.where("leaves > 1").select(F.col("into").alias("leaf"), "point")
+    for more in settled:
+        open_ = open_.unionByName(more)
+    return open_
+
+
+def _leaf_of_sample(drawn: int, n: int) -> float:
+    """Points of a sample that stand for ``LEAF`` of all."""
+    return max(16.0, LEAF * drawn / max(n, 1))
+
+
+def _grown(reach: int) -> Callable[[pd.Series, int], tuple[Node, int]]:
+    most = LEAF
+
+    def run(points: pd.Series, n: int) -> tuple[Node, int]:
+        sample = np.sort(points.to_numpy()).view(np.uint64)[:, None]
+        return grow(sample, max(16.0, most * len(sample) / n), reach)
+
+    return run
+
+
+def _sent_down(reach: int) -> Callable[[Node, pd.Series], list[tuple[int, np.ndarray]]]:
+    def run(tree: Node, points: pd.Series) -> list[tuple[int, np.ndarray]]:
+        out: list[tuple[int, np.ndarray]] = []
+        route(tree, points.to_numpy().view(np.uint64)[:, None], np.arange(len(points)), reach, out)
+        return out
+
+    return run
+
+
+def linked(points: DataFrame, reach: int = RADIUS) -> DataFrame:
+    """``a, b``: links between distinct points that connect what ``reach`` connects.
+
+    ``points`` has the distinct points in a column ``point``.
+    """
+    return (
+        in_chunks(in_leaves(points, reach), "leaf", "point", CHUNK)
+        .groupBy("leaf", "first", "second")
+        .applyInPandas(_leaf_links(reach), "a long, b long")
     )
 
 
-def in_chunks(rows: DataFrame, sizes: DataFrame, shard: str, point: str) -> DataFrame:
-    """Rows of a shard of several ``chunks`` dealt so that each two chunks meet in a task
-    (``first``, ``second``) of their own."""
-    dealt = rows.join(F.broadcast(sizes), shard)
+def in_chunks(rows: DataFrame, shard: str, point: str, chunk: int) -> DataFrame:
+    """Rows of a shard of more than ``chunk`` rows dealt so that each two chunks meet in a
+    task (``first``, ``second``); ``own`` is the row's chunk."""
+    sizes = rows.groupBy(shard).agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")).where("chunks > 1")
+    sizes = stored(sizes, "chunks")
+    dealt = rows.join(sized(sizes, sizes.count()), shard, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     own = F.pmod(F.xxhash64(F.lit(9), point), F.col("chunks")).cast("int")
-    dealt = dealt.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return dealt.select(
-        shard, point, F.least("_own", "_other").alias("first"), F.greatest("_own", "_other").alias("second")
+    dealt = dealt.withColumn("own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return dealt.withColumn("first", F.least("own", "_other")).withColumn("second", F.greatest("own", "_other")).drop(
+        "chunks", "_other"
     )
 
 
@@ -257,16 +309,17 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, reach: int = RADIUS)
     """``doc_id, fingerprint, component_id`` of every row; ``component_id`` is the least
     doc_id that can be reached over links, the row itself included."""
     prints = stored(fingerprints(docs, n_words), "fingerprints")
-    points = stored(prints.groupBy("point").agg(F.min("doc_id").alias("least")), "points")
+    points = prints.groupBy("point").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    points = stored(points, "points")
     links = stored(linked(points, reach), "links")
     return _classes(prints, points, links)
 
 
 def _classes(prints: DataFrame, points: DataFrame, links: DataFrame) -> DataFrame:
-    groups = components(links)  # node, component
-    own = points.join(groups.withColumnRenamed("node", "point"), "point", "left")
-    own = own.withColumn("component", F.coalesce("component", "point"))
-    least = own.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = own.join(least, "component").select("point", "component_id")
+    groups = components(links).withColumnRenamed("node", "point").withColumn("_one", F.lit(1))
+    own = joined(points, groups, ["point"], "point-groups", "_one", "left")
+    own = stored(own.withColumn("component", F.coalesce("component", "point")), "grouped-points")
+    least = own.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    named = joined(own, least, ["component"], "group-names", "members").select("point", "component_id", "copies")
     bits = F.lower(F.lpad(F.hex("point"), 16, "0")).alias("fingerprint")
-    return prints.join(named, "point").select("doc_id", bits, "component_id")
+    return joined(prints, named, ["point"], "named-points", "copies").select("doc_id", bits, "component_id")
