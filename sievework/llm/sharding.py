@@ -10,17 +10,20 @@ see each other, so a group of n costs n rows and not n * n.
    holds most of its group and has room, if more of the group is there than where it is.
    Requests are granted in the order of group hashes while the target's quota of bytes
    lasts; a group larger than a shard's quota goes on filling the next shard. Rounds end
-   when nothing moves.
+   when nothing moves, or after ``ROUNDS`` of them: a later round could only unite more, the
+   placement is whole and balanced after any.
 3. *Levelling*: documents without links have no edges to cut. They fill all shards up to
    equal bytes: cells of (size class, hash), largest first, go to the emptiest shard. If
    linked documents alone overfill a shard, its surplus joins them group by group.
 
 What reaches the driver has a fixed bound: sums by shard, and one sum for each cell. Quotas
 are kept by prefix sums over cells; only the one cell that crosses a quota is ordered row
-by row, so no group, however large, is one task's work.
+by row. The rows of a group never meet in one task: sums by group are added up before they
+are shuffled, and they come back to the rows as ``common.joined`` sends them.
 
 Law: ``bytes``. A null text has no bytes, checksum 0 and no links; empty texts are equal
-texts. Repeated rows are rows of their own. An empty table gives no rows.
+texts. Texts are taken whole, however long. Repeated rows are rows of their own; further
+columns are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import gapless, literal_rows, spread, stored
+from .common import gapless, joined, literal_rows, spread, stored
 
 SHARDS = 24
 ROUNDS = 16
@@ -120,17 +123,13 @@ def propagate(linked: DataFrame, quota: float, shards: int, rounds: int = ROUNDS
         here = votes.join(best, "group").where(
             (F.col("shard") != F.col("wanted")) & ((F.col("most") > F.col("n")) | equal)
         )
-        wishes = here.select("group", "shard", "wanted")
-        marked = stored(linked.join(wishes, ["group", "shard"], "left"), "wishes")
-        asked = marked.where("wanted is not null")
+        # Only the rows that ask to move are written for the quota; most stay where they are.
+        wishes = stored(here.select("group", "shard", "wanted", "n"), "wishes")
+        asked = stored(joined(linked, wishes, ["group", "shard"], None, "n"), "asked")
         granted = within_quota(asked, rooms, "wanted")
         moved = granted.withColumn("shard", F.when(F.col("granted"), F.col("wanted")).otherwise(F.col("shard")))
-        after = stored(
-            moved.drop("wanted").unionByName(
-                marked.where("wanted is null").drop("wanted").withColumn("granted", F.lit(False))
-            ),
-            "labels",
-        )
+        others = joined(linked, wishes, ["group", "shard"], None, "n", "left_anti")
+        after = stored(moved.drop("wanted").unionByName(others.withColumn("granted", F.lit(False))), "labels")
         n = after.where("granted").count()
         linked = after.drop("granted")
         if not n:
@@ -156,9 +155,9 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.monotonically_increasing_id().alias("uid"),
     )
     rows = stored(rows, "rows")
-    groups = rows.groupBy("group").agg(F.count("*").alias("members"))
-    several = groups.where("members > 1").select("group", F.lit(True).alias("several"))
-    rows = stored(rows.join(several, "group", "left"), "grouped")
+    groups = rows.groupBy("group").agg(F.count("*").alias("members")).where("members > 1")
+    several = groups.withColumn("several", F.lit(True))
+    rows = stored(joined(rows, several, ["group"], "groups", "members", "left"), "grouped")
     linked, free = rows.where("several").drop("several"), rows.where("several is null").drop("several")
 
     quota = (rows.agg(F.sum("size")).first()[0] or 0) / shards
