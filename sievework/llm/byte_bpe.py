@@ -10,8 +10,8 @@ compatible continuation exists is marked once and never visited again.
 
 A match that is a token as a whole is that token, as with the tiktoken library.
 Null and empty texts give no ids. Nothing is shuffled; each row, repeated or not, is encoded
-by itself. Very long texts take linear time; further columns are ignored; an empty table
-gives no rows.
+by itself. Very long texts take linear time; further columns, whatever their names, are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

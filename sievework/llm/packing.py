@@ -13,7 +13,8 @@
    still spread over many tasks.
 
 Null and empty texts make a piece of the end id alone. Repeated rows are packed row by
-row; the pieces of rows with one doc_id are told apart. An empty table gives no rows.
+row; the pieces of rows with one doc_id are told apart. Texts are taken whole, however long.
+Further columns are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations

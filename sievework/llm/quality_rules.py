@@ -11,7 +11,8 @@ Only the numbers of rows with each combination of votes go to the driver: at mos
 
 A text fails the base rules if it has under 20 words, or if over 30 % of its words lie in
 8-word windows found twice or more in it. Null and empty texts have no words and fail.
-Repeated rows are judged row by row; an empty table gives no rows.
+Texts are taken whole, however long. Repeated rows are judged row by row; further columns
+are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -13,8 +13,14 @@ lost to the sampling error of the share. The k-th largest sum is found by narrow
 histograms; rows that tie with it are kept too.
 
 The noise comes from a hash of doc_id and text, so runs agree and repeated rows share
-their fate. Null and empty texts have importance 1. Without target rows all importances
-are 1; without labels, or without bad ones, all rows are kept. An empty table gives no rows.
+their fate. Null and empty texts have importance 1. Texts are taken whole, however long.
+Where labels contradict each other, a text is good if all of its labels say so. Without
+target rows all importances are 1; without labels, or without bad ones, all rows are kept.
+Further columns, whatever their names, are ignored or kept as they are. An empty table
+gives no rows.
+
+Texts are split three times where rows are filtered (model, scores, rows), as shuffling or
+storing them would cost more at scale than the splitting.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, stored, texts
+from .common import at_most, batched, stored, texts
 
 BUCKETS = 10_000
 SAMPLE = 20_000
@@ -154,13 +160,14 @@ def _prepared(docs: DataFrame, labels: DataFrame, sample: int, seed: int):
     spark = docs.sparkSession
     chosen = (
         labels.where("quality is not null")
-        .select("doc_id", F.col("quality").cast("int").alias("quality"))
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(F.min(F.col("quality").cast("int")).alias("quality"))
         .orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id")
         .limit(sample)
     )
     # At most ``sample`` rows of two numbers go to all tasks; the texts are not shuffled.
     rows = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality"), "quality-sample")
+    rows, _ = at_most(rows, sample)
     n, good = rows.agg(F.count("*"), F.coalesce(F.sum("quality"), F.lit(0))).first()
     raw = model(docs)
     target = model(rows.where("quality = 1")) if good else raw

@@ -11,8 +11,11 @@
    hot pre-tokens without a shuffle. The others, rare by construction, are joined in a
    shuffle. Both parts are exact, at every size of corpus.
 
-Null and empty texts have 0 bytes and 0 tokens. Repeated rows are counted row by row.
-Columns other than ``doc_id`` and ``text`` are ignored; an empty table gives no rows.
+Texts are split twice, once for the dictionary and once for their frequencies: storing or
+shuffling the frequencies of all documents would cost more than splitting again.
+
+Null and empty texts have 0 bytes and 0 tokens. Texts are taken whole, however long.
+Repeated rows are counted row by row. Columns other than ``doc_id`` and ``text`` are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

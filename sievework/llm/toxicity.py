@@ -15,8 +15,11 @@ rejected at an expected grade of ``REJECT`` or more.
 
 The model is fitted on ``SAMPLE`` labelled rows at most, chosen by a hash of doc_id.
 Null and empty texts have no features and so the grade of the intercept. Rows without a
-label, labels without a row and null labels take no part in fitting; without both classes
-every text gets grade 0. Repeated rows are scored row by row; an empty table gives no rows.
+label, labels without a row and null labels take no part in fitting; where labels of one
+doc_id contradict each other, one that says toxic decides. Without both classes every text
+gets grade 0. Texts are taken whole, however long. Repeated rows are scored row by row;
+further columns, whatever their names, are ignored or kept as they are; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, stored, texts
+from .common import at_most, batched, stored, texts
 
 SAMPLE = 20_000
 FEATURES = 2_048
@@ -121,13 +124,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     """Fits the model on the labelled rows of ``docs``."""
     chosen = (
         labels.where("toxic is not null")
-        .select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
         .orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id")
         .limit(sample)
     )
     # At most ``sample`` rows of two numbers go to all tasks; the texts are not shuffled.
     rows = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxic-sample")
+    rows, _ = at_most(rows, sample)
     sizes = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     n, toxic = sizes["n"] or 0, sizes["toxic"] or 0
     if not 0 < toxic < n:
