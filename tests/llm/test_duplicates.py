@@ -1,7 +1,7 @@
 import numpy as np
 import xxhash
 
-from sievework.llm import embedding_dedup, graph, simhash, simhash_text
+from sievework.llm import common, embedding_dedup, graph, simhash, simhash_text
 
 
 def closure(n, pairs):
@@ -133,10 +133,6 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
 
 
-def test_bits_of_a_similarity():
-    assert 70 < simhash_text.expected_bits(0.8) < 110
-
-
 def test_dense_points_end(spark):
     """Points of which many lie within the reach of each other part no further, and end."""
     rng = np.random.default_rng(5)
@@ -195,3 +191,123 @@ def test_links_of_sets_are_brute_force():
         pairs = [(i, j) for i in range(n) for j in range(i) if len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]})]
         assert closure(n, zip(a, b)) == closure(n, pairs)
         assert len(a) == n - len(set(closure(n, pairs)))
+
+
+def test_groups_of_edited_copies_near_the_threshold(spark):
+    """300 groups of 10 texts with a block of words replaced in each: similarities around 0.8."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(300):
+        base = [f"w{k}" for k in rng.integers(0, 10**9, 300)]
+        for _ in range(10):
+            run = int(rng.integers(11, 15))
+            at = int(rng.integers(0, 300 - run))
+            texts.append(" ".join(base[:at] + [f"n{k}" for k in rng.integers(0, 10**9, run)] + base[at + run :]))
+    sets = [shingles(text) for text in texts]
+    pairs = []
+    for group in range(0, 3000, 10):
+        for a in range(group, group + 10):
+            for b in range(group, a):
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    pairs.append((a, b))
+    groups = closure(3000, pairs)
+    assert 1000 < len(set(groups)) < 3000 or len(pairs) > 5000
+    assert kept_ids(spark, texts) == sorted(set(groups))
+
+
+def test_leaves_do_not_grow_with_the_corpus(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    points = np.unique(rng.integers(0, 2**63, 50_000, dtype=np.uint64))
+    near = points[:4000] ^ (np.uint64(1) << rng.integers(0, 63, 4000).astype(np.uint64))
+    points = np.unique(np.concatenate([points, near]))
+    rows = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "point long").repartition(8)
+    monkeypatch.setattr(simhash, "SAMPLE", 200)
+    monkeypatch.setattr(simhash, "LEAF", 4_000)
+    leaves = simhash.in_leaves(rows).toPandas()
+    # The first tree has a dozen leaves or so; without trees of their own they hold tens of thousands.
+    assert leaves.groupby("leaf").size().max() <= 2 * simhash.LEAF
+    assert set(leaves.point) == set(points.view(np.int64).tolist())
+    found = {frozenset((r.a, r.b)) for r in simhash.linked(rows).collect()}
+    at = {int(p): k for k, p in enumerate(points.view(np.int64))}
+    have = closure(len(points), [tuple(at[x] for x in pair) for pair in found if len(pair) == 2])
+    want = [(at[int(a)], at[int(b)]) for a, b in zip(near.view(np.int64), (near ^ near).view(np.int64)) if int(b) in at]
+    order = np.sort(points)
+    pairs = []
+    for bit in range(64):  # pairs one bit apart; two or three bits apart do not occur by chance
+        twins = order ^ (np.uint64(1) << np.uint64(bit))
+        hit = np.isin(twins, order)
+        pairs += [(at[int(a)], at[int(b)]) for a, b in zip(order[hit].view(np.int64), twins[hit].view(np.int64))]
+    assert have == closure(len(points), pairs + want)
+
+
+def test_chunks_of_a_dense_leaf_meet(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    dense = np.zeros(3000, np.uint64)
+    for _ in range(4):
+        dense ^= np.uint64(1) << rng.integers(0, 63, len(dense)).astype(np.uint64)
+    points = np.unique(np.concatenate([dense, rng.integers(0, 2**63, 500, dtype=np.uint64)]))
+    monkeypatch.setattr(simhash, "CHUNK", 300)
+    monkeypatch.setattr(simhash, "LEAF", 600)
+    rows = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "point long")
+    at = {int(p): k for k, p in enumerate(points.view(np.int64))}
+    links = [(at[r.a], at[r.b]) for r in simhash.linked(rows).collect()]
+    away = np.bitwise_count(points[:, None] ^ points[None, :])
+    assert closure(len(points), links) == closure(len(points), zip(*np.nonzero(np.triu(away <= 3, 1))))
+
+
+def brute_links(vectors):
+    matrix = np.asarray(vectors, np.float64)
+    matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    return matrix @ matrix.T >= 0.95
+
+
+def check_vectors(spark, vectors, least_recall=0.99, kind="float"):
+    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(vectors)], f"vec_id long, embedding array<{kind}>")
+    found = embedding_dedup.near_duplicates(df.repartition(4)).toPandas().sort_values("vec_id")
+    links = brute_links(vectors)
+    want = links.sum(axis=1) - 1
+    got = found.n_links.to_numpy()
+    assert (got <= want).all() and got.sum() >= least_recall * want.sum()
+    groups = np.array(closure(len(vectors), zip(*np.nonzero(np.triu(links, 1)))))
+    assert (found.component_id.to_numpy() == groups).mean() >= least_recall
+    assert (found.kept == (found.vec_id == found.component_id)).all()
+
+
+def test_vectors_with_small_samples_leaves_and_chunks(spark, monkeypatch):
+    """Leaves with trees of their own, dense leaves, and chunks that meet, give the same links."""
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((3000, 32))
+    dense = rng.standard_normal(32) + rng.standard_normal((700, 32)) * 0.05
+    edge = rng.standard_normal(32) + rng.standard_normal((300, 32)) * 0.22  # cosines around 0.95
+    vectors = np.float32(np.concatenate([base, base[:500] + rng.standard_normal((500, 32)) * 0.1, dense, edge]))
+    for name, value in (("SAMPLE", 300), ("LEAF", 150), ("CHUNK", 200)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    check_vectors(spark, vectors)
+
+
+def test_vectors_of_the_table(spark, tables):
+    for sf in ("sf0.01", "check_s"):
+        table = tables("embeddings", sf).toPandas().sort_values("vec_id")
+        found = embedding_dedup.near_duplicates(tables("embeddings", sf)).toPandas().sort_values("vec_id")
+        links = brute_links(np.stack(table.embedding))
+        assert found.n_links.sum() >= 0.99 * (links.sum() - len(links)) and (found.n_links <= links.sum(axis=1) - 1).all()
+
+
+def test_vectors_of_doubles_and_repeated_ids(spark):
+    rows = [(1, [1e-60, 2e-60]), (2, [1e-60, 2e-60]), (3, [1e200, 2e200]), (4, [-1.0, 0.5]), (4, [-2.0, 1.0]), (5, [3.0, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted(map(tuple, embedding_dedup.near_duplicates(df).collect()))
+    assert found == [
+        (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 1, 4, True), (4, 1, 4, True), (5, 0, 5, True),
+    ]
+
+
+def test_hot_keys_give_the_same_join(spark, monkeypatch):
+    left = spark.createDataFrame([(k % 7 if k % 3 else 100, k) for k in range(300)] + [(None, 1)], "key int, x int")
+    right = left.where("key is not null and key <> 5").groupBy("key").agg({"*": "count"}).toDF("key", "n").selectExpr("key", "n", "key * 2 AS y")
+    want = {how: sorted(map(str, left.join(right.drop("n"), "key", how).collect())) for how in ("inner", "left", "left_anti")}
+    for few, hot in ((1000, 10), (3, 50), (0, 50), (5, 1), (0, 1000)):
+        monkeypatch.setattr(common, "FEW", few)
+        monkeypatch.setattr(common, "HOT", hot)
+        for how, rows in want.items():
+            assert sorted(map(str, common.joined(left, right, ["key"], "right", "n", how).collect())) == rows

@@ -28,3 +28,13 @@ def test_stages_take_awkward_rows(spark, docs, no_docs):
             rows = stage(spark, rows, "/root/testdata/sf0.001")
             assert rows.columns == given.columns
             rows.count()
+
+
+def test_run_takes_awkward_and_empty_tables(spark, docs, no_docs, labels, tmp_path):
+    for name, given in (("awkward", docs), ("empty", no_docs)):
+        folder = tmp_path / name
+        given.write.parquet(str(folder / "documents.parquet"))
+        labels.write.parquet(str(folder / "labels.parquet"))
+        rows = corpus_pipeline.run(spark, str(folder))
+        assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+        assert (rows.count() > 0) == (name == "awkward")
