@@ -312,55 +312,55 @@ def has_deep_toml(value: Column | str) -> Column:
 
 # --- Escapes --------------------------------------------------------------------------
 
-#: What counts as an escape, by format.
+# The names and patterns of escapes, by format.
 ESCAPES: dict[str, dict[str, str]] = {
     "XML": {
         "xml_amp": r"&amp;",
-        "xml_apos": r"&apos;",
-        "xml_bare_amp": r"&(?!amp;|lt;|gt;|quot;|apos;|#\d+;|#x[0-9A-Fa-f]+;)",
-        "xml_cdata": r"<!\[CDATA\[",
-        "xml_gt": r"&gt;",
         "xml_lt": r"&lt;",
+        "xml_gt": r"&gt;",
+        "xml_quot": r"&quot;",
+        "xml_apos": r"&apos;",
         "xml_num_dec": r"&#\d+;",
         "xml_num_hex": r"&#x[0-9A-Fa-f]+;",
-        "xml_quot": r"&quot;",
+        "xml_cdata": r"<!\[CDATA\[",
+        "xml_bare_amp": r"&(?!amp;|lt;|gt;|quot;|apos;|#\d+;|#x[0-9A-Fa-f]+;)",
     },
     "JSON": {
+        "json_escaped_quote": r'\\"',
+        "json_escaped_backslash": r"\\\\",
+        "json_escaped_slash": r"\\/",
         "json_escape_b": r"\\b",
         "json_escape_f": r"\\f",
         "json_escape_n": r"\\n",
         "json_escape_r": r"\\r",
         "json_escape_t": r"\\t",
         "json_escape_u": r"\\u[0-9A-Fa-f]{4}",
-        "json_escaped_backslash": r"\\\\",
-        "json_escaped_quote": r"\\" + '"',
-        "json_escaped_slash": r"\\/",
         "json_raw_control_char": r"[\x00-\x1F]",
     },
     "TOML": {
-        "toml_escape_U": r"\\U[0-9A-Fa-f]{8}",
+        "toml_escaped_quote": r'\\"',
+        "toml_escaped_backslash": r"\\\\",
         "toml_escape_b": r"\\b",
-        "toml_escape_f": r"\\f",
+        "toml_escape_t": r"\\t",
         "toml_escape_n": r"\\n",
+        "toml_escape_f": r"\\f",
         "toml_escape_r": r"\\r",
-        "toml_escape_t": r"\\t",
         "toml_escape_u": r"\\u[0-9A-Fa-f]{4}",
-        "toml_escaped_backslash": r"\\\\",
-        "toml_escaped_quote": r"\\" + '"',
+        "toml_escape_U": r"\\U[0-9A-Fa-f]{8}",
     },
     "YAML": {
-        "yaml_escape_U": r"\\U[0-9A-Fa-f]{8}",
+        "yaml_escaped_quote": r'\\"',
+        "yaml_escaped_backslash": r"\\\\",
         "yaml_escape_n": r"\\n",
-        "yaml_escape_r": r"\\r",
         "yaml_escape_t": r"\\t",
+        "yaml_escape_r": r"\\r",
         "yaml_escape_u": r"\\u[0-9A-Fa-f]{4}",
+        "yaml_escape_U": r"\\U[0-9A-Fa-f]{8}",
         "yaml_escape_x": r"\\x[0-9A-Fa-f]{2}",
-        "yaml_escaped_backslash": r"\\\\",
-        "yaml_escaped_quote": r"\\" + '"',
         "yaml_single_quote_doubled": r"''",
     },
     "CSV": {
-        "csv_quote_doubled": '""',
+        "csv_quote_doubled": r'""',
         "csv_quoted_newline": r'"[^"]*\n[^"]*"',
     },
 }

@@ -61,12 +61,7 @@ def components(
         "only": float(nothing_else(text or "", name)),
         "extraneous": float(extraneous),
     }
-    if name == "YAML":
-        found["yaml_indent_canonical"] = float(yaml_indent_is_canonical(body))
-        found["yaml_block_style"] = float(not yaml_is_flow(body))
-    if name == "TOML":
-        found["toml_canonical"] = float(trees.canonical_toml(body)[1])
-        found["toml_canonical_soft"] = trees.toml_likeness(body)
+    found |= style(body, name)
     # A cut-off start of a strict format must not stand in for the whole.
     value = whole.value if whole.ok else None if name in ("TOML", "XML", "CSV") or not loose.ok else loose.value
     if name == "JSON":
@@ -88,6 +83,30 @@ def components(
     return found
 
 
+def style(body: str, name: str) -> dict[str, float]:
+    """The components of YAML's and TOML's style."""
+    if name == "YAML":
+        return {
+            "yaml_indent_canonical": float(yaml_indent_is_canonical(body)),
+            "yaml_block_style": float(not yaml_is_flow(body)),
+        }
+    if name == "TOML":
+        return {"toml_canonical": float(trees.canonical_toml(body)[1]), "toml_canonical_soft": trees.toml_likeness(body)}
+    return {}
+
+
+def reward_parts(
+    text: str | None, name: str | None, paths: Sequence[str] | None, reference: str | None
+) -> dict[str, float]:
+    """What a reward is made of: with key paths the key score of the payload, its style and
+    whether anything stands around it, without them all components."""
+    if not paths:
+        return components(text, name, reference) | {"final_eval_score": 0.0}
+    body, extraneous = payload(text, name)
+    found = dict.fromkeys(COMPONENTS, 0.0) | style(body, reward_name(name)) | {"extraneous": float(extraneous)}
+    return found | {"final_eval_score": key_score(body, paths, name)["final_eval_score"]}
+
+
 #: Weights that hold where a configuration is silent.
 WEIGHTS = {
     "p_parse_fail": -3.0,
@@ -192,7 +211,7 @@ def one_reward(
     if not listed:
         return combine(components(text, name, reference, **options), config, name)
     body, extraneous = payload(text, name)
-    found = components(body, name)
+    found = dict.fromkeys(COMPONENTS, 0.0) | style(body, reward_name(name))
     silent = {key: 0.0 for key in WEIGHTS} | dict(config)
     total = key_score(body, listed, name)["final_eval_score"] + style_reward(found, silent, name)
     return total + (weight(silent, "p_extraneous", name) if extraneous else 0.0)

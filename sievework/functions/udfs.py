@@ -143,6 +143,40 @@ key_score = arrow(
 )
 
 
+def _reward_parts(text: str | None, name: str | None, paths: Any, reference: str | None) -> dict[str, Any]:
+    return scores.reward_parts(text, name, None if paths is None else list(paths), reference)
+
+
+reward_parts = arrow(_reward_parts, ", ".join(f"{name} double" for name in (*scores.COMPONENTS, "final_eval_score")))
+
+
+def _diagnosis(text: str | None, name: str | None, paths: Any) -> dict[str, Any]:
+    return {"key_score": _score(text, paths, name), "components": scores.components(text, name)}
+
+
+diagnosis = arrow(
+    _diagnosis,
+    "key_score struct<render_score:double,key_validation_score:double,raw_output_eval:array<boolean>,"
+    "raw_output_score:double,final_eval_score:double>, "
+    f"components struct<{','.join(f'{name}:double' for name in scores.COMPONENTS)}>",
+)
+
+
+def _evaluation(text: str | None, name: str | None, paths: Any) -> dict[str, Any]:
+    text = text or ""
+    found = formats.strict(text, name)
+    authors = trees.article_checks(found.value)["authors_len_is_2"] if name == "JSON" and found.ok else False
+    return {
+        "strict_ok": found.ok,
+        "only_ok": formats.nothing_else(text, name),
+        "authors_len_ok": authors,
+        "final_eval_score": _score(text, paths, name)["final_eval_score"],
+    }
+
+
+evaluation = arrow(_evaluation, "strict_ok boolean, only_ok boolean, authors_len_ok boolean, final_eval_score double")
+
+
 def reward_components(
     allowed: set[str] | None = None, schema: dict[str, Any] | None = None
 ) -> Callable[[Column, Column, Column], Column]:

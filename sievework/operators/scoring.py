@@ -50,9 +50,8 @@ def with_components(
 
 def diagnosed(rows: DataFrame, generation: str = "generation", kind: str = "output_type") -> DataFrame:
     """Key score and reward components side by side, under a struct for each."""
-    parts = udfs.reward_components()(F.col(generation), F.col(kind), F.lit(None).cast("string"))
-    score = udfs.key_score(F.col(generation), F.col("raw_output_metric"), F.col(kind))
-    return rows.withColumn("key_score", score).withColumn("components", parts)
+    made = udfs.diagnosis(F.col(generation), F.col(kind), F.col("raw_output_metric"))
+    return rows.withColumn("_made", made).select(*rows.columns, "_made.*")
 
 
 def combined(config: Mapping[str, float] | None = None, kind: Column | str = "output_type") -> Column:
@@ -101,15 +100,13 @@ def rewarded(rows: DataFrame, config: Mapping[str, float] | None = None, generat
     them the combined components. What stands around a payload costs ``p_extraneous``."""
     given = dict(config or {})
     kind = F.upper(F.trim(F.coalesce(F.nullif("output_type", F.lit("")), F.lit("JSON"))))
-    staged = rows.withColumn("_kind", kind).withColumn("_body", udfs.payload(F.col(generation), F.col("_kind")))
     gold = F.col("reference_output") if "reference_output" in rows.columns else F.lit(None).cast("string")
     asked = F.coalesce(F.size("raw_output_metric"), F.lit(0)) > 0
-    staged = staged.select(
-        "*",
-        udfs.key_score(F.col("_body.payload"), F.col("raw_output_metric"), F.col("_kind")).alias("_score"),
-        udfs.reward_components()(F.col(generation), F.col("_kind"), gold).alias("_parts"),
-    )
-    flat = staged.select("*", "_parts.*")
+    staged = rows.withColumn("_kind", kind)
+    parts = udfs.reward_parts(F.col(generation), F.col("_kind"), F.col("raw_output_metric"), gold)
+    staged = staged.withColumn("_parts", parts)
+    # Columns of the input that are named like a part give way, inside this function only.
+    flat = staged.select(F.struct(*(F.col(x) for x in rows.columns)).alias("_row"), "_kind", asked.alias("_asked"), "_parts.*")
     name = F.col("_kind")
 
     def of(key: str) -> Column:
@@ -125,12 +122,12 @@ def rewarded(rows: DataFrame, config: Mapping[str, float] | None = None, generat
     for own in ("JSON", "YAML", "TOML", "XML", "CSV"):
         outside = F.when(name == own, F.lit(weight(given, "p_extraneous", own))).otherwise(outside)
     by_keys = (
-        F.col("_score.final_eval_score")
+        F.col("final_eval_score")
         + F.when(name == "YAML", yaml).when(name == "TOML", toml).otherwise(0.0)
-        + F.when(F.col("_body.extraneous"), outside).otherwise(0.0)
+        + F.when(F.col("extraneous") >= 1, outside).otherwise(0.0)
     )
-    reward = F.when(asked, by_keys).otherwise(combined(given, "_kind"))
-    return flat.withColumn("reward", reward).select(*rows.columns, "reward")
+    reward = F.when(F.col("_asked"), by_keys).otherwise(combined(given, "_kind"))
+    return flat.select("_row.*", reward.alias("reward"))
 
 
 def advantages(rows: DataFrame, prompt: str = "prompt", reward: str = "reward", near: float = 1e-6) -> DataFrame:
@@ -147,17 +144,9 @@ def advantages(rows: DataFrame, prompt: str = "prompt", reward: str = "reward",
 def evaluated(rows: DataFrame, generation: str = "generation", kind: str = "output_type") -> DataFrame:
     """Adds what the evaluation counts: strict, only, article checks, and the key score."""
     name = F.upper(F.trim(F.coalesce(kind, F.lit("JSON"))))
-    staged = rows.withColumn("_type", name).withColumn("_parse", udfs.parse(text(generation), F.col("_type")))
-    staged = scored(staged, generation, kind="_type")
-    checks = udfs.article_checks(F.when((F.col("_type") == "JSON") & F.col("_parse.ok"), F.col(generation)))
-    return staged.select(
-        *rows.columns,
-        F.col("_type").alias("eval_type"),
-        F.col("_parse.ok").alias("strict_ok"),
-        F.col("_parse.only").alias("only_ok"),
-        checks["authors_len_is_2"].alias("authors_len_ok"),
-        "final_eval_score",
-    )
+    staged = rows.withColumn("_type", name)
+    found = udfs.evaluation(text(generation), F.col("_type"), F.col("raw_output_metric"))
+    return staged.withColumn("_found", found).select(*rows.columns, F.col("_type").alias("eval_type"), "_found.*")
 
 
 def _rate(flag: Column) -> Column:

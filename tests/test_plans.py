@@ -2,7 +2,9 @@
 
 import pytest
 
+from sievework.operators import scoring
 from sievework.plans import queries as plans
+from sievework.sources import generators
 
 SF = "/root/testdata/sf0.001"
 QUERIES = plans.queries()
@@ -18,14 +20,15 @@ def test_native_reports_run_no_python(spark, name):
     assert "Python" not in text and "HashAggregate" in text
 
 
-@pytest.mark.parametrize("name", ["key_scores", "reward_components", "json_validity", "cleaning_decisions"])
+@pytest.mark.parametrize("name", ["key_scores", "reward_components", "json_validity", "cleaning_decisions", "eval_by_type", "eval_summary", "reward_by_keys", "reward_combined"])
 def test_texts_are_parsed_once(spark, name):
     assert plan(QUERIES[name](spark, SF)).count("ArrowEvalPython (") == 1
 
 
 def test_no_query_plans_a_cartesian_product(spark):
     for name, run in QUERIES.items():
-        assert "CartesianProduct" not in plan(run(spark, SF)), name
+        text = plan(run(spark, SF))
+        assert "CartesianProduct" not in text and "CrossJoin" not in text and "BroadcastNestedLoopJoin Cross" not in text, name
 
 
 def test_scans_read_the_columns_they_need(spark):
@@ -39,5 +42,6 @@ def test_filters_reach_the_scan(spark):
     assert "PushedFilters: [IsNotNull(role), EqualTo(role,user)]" in text
 
 
-def test_each_text_function_of_a_flow_is_needed_once(spark):
-    assert plan(QUERIES["eval_by_type"](spark, SF)).count("ArrowEvalPython (") <= 2
+def test_diagnosis_parses_in_one_node(spark):
+    rows = generators.completions(spark.read.parquet(f"{SF}/part.parquet"))
+    assert plan(scoring.diagnosed(rows)).count("ArrowEvalPython (") == 1
