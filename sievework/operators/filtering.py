@@ -82,9 +82,11 @@ def canonical_toml_rows(rows: DataFrame, output: str = "output", kind: str = "ou
     return staged.withColumn(output, F.when(good, F.col("_made.canonical")).otherwise(F.col(output))).drop("_made")
 
 
-def distinct_rows(rows: DataFrame, key: Column) -> DataFrame:
-    """The first row of each fingerprint."""
-    return rows.withColumn("fingerprint", key).dropDuplicates(["fingerprint"])
+def distinct_rows(rows: DataFrame, key: Column, order: Sequence[Column | str]) -> DataFrame:
+    """Of the rows of each fingerprint the first in the stated order; it is found by a
+    minimum, which is taken before the shuffle."""
+    staged = rows.select(F.struct(*(F.col(name) for name in rows.columns)).alias("_row"), F.struct(*order).alias("_order"), key.alias("fingerprint"))
+    return staged.groupBy("fingerprint").agg(F.min_by("_row", "_order").alias("_row")).select("_row.*", "fingerprint")
 
 
 def first_rows(rows: DataFrame, partition: Sequence[str], order: Sequence[Column | str], n: int = 1) -> DataFrame:

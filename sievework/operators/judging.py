@@ -25,29 +25,35 @@ def cache_key(provider: str, model: str, content: Mapping[str, Any]) -> str:
 
 
 def cache_key_of(provider: str, model: str, content: Column) -> Column:
-    """The same for a struct column, handed over as JSON text."""
+    """The same for a struct column, handed over as JSON text; numbers and nested values have
+    to look as Python writes them, so the text is made anew there."""
     return udfs.arrow(lambda text: cache_key(provider, model, json.loads(text)), "string")(F.to_json(content))
 
 
-def upsert(cache: DataFrame, new: DataFrame) -> DataFrame:
-    """The cache with new answers: they replace old ones, and task ids are united, the new
-    one first and each once."""
-    a, b = cache.alias("a"), new.alias("b")
-    joined = a.join(b, [F.col(f"a.{x}") == F.col(f"b.{x}") for x in CACHE_KEY], "full_outer")
-
-    def ids(side: str) -> Column:
-        one = F.when(F.col(f"{side}.task_id").isNotNull(), F.array(f"{side}.task_id"))
-        many = F.col(f"{side}.task_ids")
-        empty = F.array().cast("array<string>")
-        return F.concat(F.coalesce(one, empty), F.coalesce(many, empty))
-
-    merged = F.array_distinct(F.concat(ids("b"), ids("a")))
-    fresh = F.col("b.key").isNotNull()
-    return joined.select(
-        *(F.coalesce(f"b.{x}", f"a.{x}").alias(x) for x in CACHE_KEY),
-        *(F.when(fresh, F.col(f"b.{x}")).otherwise(F.col(f"a.{x}")).alias(x) for x in ("score", "passed", "details")),
-        F.try_element_at(merged, F.lit(1)).alias("task_id"),
-        merged.alias("task_ids"),
+def _ids(row: Column) -> Column:
+    """Task ids of a cache row, its own first."""
+    empty = F.array().cast("array<string>")
+    one = F.when(row["task_id"].isNotNull(), F.array(row["task_id"]))
+    return F.concat(F.coalesce(one, empty), F.coalesce(row["task_ids"], empty))
+
+
+def upsert(cache: DataFrame, new: DataFrame, order: Column | str = "task_id") -> DataFrame:
+    """The cache with new answers, one row for each key: an answer replaces older ones, and
+    task ids are united, those of newer answers first and each once. Of several new answers
+    for one key the last in the ``order`` (a column of ``new``) wins, as if they had been
+    written one after the other; answers of equal order are taken by their values."""
+    fields = [*CACHE_KEY, "score", "passed", "details", "task_id", "task_ids"]
+    old = cache.select(*fields, F.lit(False).alias("_new"), F.lit(None).cast(new.select(order).dtypes[0][1]).alias("_at"))
+    both = old.unionByName(new.select(*fields, F.lit(True).alias("_new"), (F.col(order) if isinstance(order, str) else order).alias("_at")))
+    row = F.struct("_new", "_at", *fields[3:])
+    gathered = both.groupBy(*CACHE_KEY).agg(F.sort_array(F.collect_set(row), asc=False).alias("_rows"))
+    last = F.col("_rows")[0]
+    ids = F.array_distinct(F.flatten(F.transform("_rows", _ids)))
+    return gathered.select(
+        *CACHE_KEY,
+        *(last[name].alias(name) for name in ("score", "passed", "details")),
+        F.try_element_at(ids, F.lit(1)).alias("task_id"),
+        ids.alias("task_ids"),
     )
 
 
@@ -72,10 +78,12 @@ def refreshed(records: DataFrame, cache: DataFrame, provider: str, model: str) -
     )
 
 
-def misses(records: DataFrame, cache: DataFrame, provider: str, model: str) -> DataFrame:
-    """Records that have to be asked for: each key once."""
+def misses(records: DataFrame, cache: DataFrame, provider: str, model: str, order: str = "task_id") -> DataFrame:
+    """Records that have to be asked for: each key once, by its first record in the order."""
     own = cache.where((F.col("provider") == provider) & (F.col("model") == model)).select(F.col("key").alias("cache_key"))
-    return records.join(own, "cache_key", "left_anti").dropDuplicates(["cache_key"])
+    missed = records.join(own, "cache_key", "left_anti")
+    row = F.struct(*(F.col(name) for name in missed.columns))
+    return missed.groupBy(F.col("cache_key").alias("_key")).agg(F.min_by(row, order).alias("_row")).select("_row.*")
 
 
 @dataclass

@@ -160,6 +160,7 @@ def task_meta(rows: DataFrame, user: str, output_type: Column, families: Familie
     return task_fields(family, kind, schema, output_type)
 
 
+# Fixed value.
 SUPPLEMENT = "Supplementary metadata (for disambiguation only; do NOT include this block in your output):"
 
 
@@ -331,6 +332,9 @@ def framed(messages: Column | str) -> Column:
     return F.concat_ws("\n", F.array_join(parts, "\n"), F.lit("<|im_start|>assistant\n"))
 
 
+# The wording of the prompts below.
+
+
 def teacher_system(output_type: Column | str) -> Column:
     kind = teacher_type(output_type)
     name = F.when(kind == "csv", "CSV text").otherwise(F.upper(kind))
@@ -371,9 +375,34 @@ TYPE_ORDER = ("json", "yaml", "toml", "xml", "csv")
 def work_order(rows: DataFrame, order: Sequence[str] = TYPE_ORDER, seed: int = 0, key: str = "task_id") -> list[Column]:
     """Sort columns: types in the given order and unknown ones after, then variants, then
     a seeded shuffle of the tasks."""
+    return [_type_place(order), F.col("output_type"), F.col("variant"), F.xxhash64(F.lit(seed), key), F.col(key)]
+
+
+def _type_place(order: Sequence[str]) -> Column:
     at = F.array_position(F.array(*map(F.lit, order)), F.col("output_type"))
-    last = F.when(at == 0, len(order) + 1).otherwise(at)
-    return [last, F.col("output_type"), F.col("variant"), F.xxhash64(F.lit(seed), "output_type", key), F.col(key)]
+    return F.when(F.coalesce(at, F.lit(0)) == 0, len(order) + 1).otherwise(at)
+
+
+def work_places(
+    rows: DataFrame, order: Sequence[str] = TYPE_ORDER, seed: int = 0, key: str = "task_id", name: str = "place"
+) -> DataFrame:
+    """Adds ``name``: 1, 2, ... in the ``work_order`` of all rows. Ranks inside a type and
+    variant come from ``sampling.ranked``, and only the counts of types and variants are put
+    in order, so no task gets more than a slice of the rows."""
+    from .sampling import ranked
+
+    groups = ["output_type", "variant"]
+    counts = rows.groupBy(*groups).agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy(_type_place(order), *groups).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_earlier", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).select(
+        *(F.col(x).alias(f"_g_{x}") for x in groups), "_earlier"
+    )
+    same = [F.col(x).eqNullSafe(F.col(f"_g_{x}")) for x in groups]
+    placed = ranked(rows, groups, seed, key, "_rank").join(counts, same[0] & same[1])
+    return placed.select(*rows.columns, (F.col("_earlier") + F.col("_rank")).alias(name))
+
+
+# The wording of what a judge reads.
 
 
 def judge_text(query: Column | str, requirements: Column | str, paths: Column | str, generation: Column | str) -> Column:
@@ -418,7 +447,3 @@ def records_of(rows: DataFrame, families: Families = FAMILIES) -> DataFrame:
         F.concat_ws("|", family, kind, task, schema).alias("task_key"),
         last_assistant("messages").alias("assistant_text"),
     )
-
-
-def numbered_rows(rows: DataFrame, group: Sequence[str], order: Sequence[Column | str], name: str = "n") -> DataFrame:
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))

@@ -46,7 +46,7 @@ def top_reasons(rows: DataFrame, n: int = 20) -> DataFrame:
 
 
 def parse_rates(rows: DataFrame, ok: str = "ok", kind: str = "output_type", failures: int = 100) -> DataFrame:
-    """Rows, successes, rate, and the ids of the first ``failures`` failures by type.
+    """Rows, successes, rate, failures, and the ids of the first ``failures`` of them by type.
 
     Only ids that come among the first of their type are gathered.
     """
@@ -61,6 +61,7 @@ def parse_rates(rows: DataFrame, ok: str = "ok", kind: str = "output_type", fail
         "n",
         "parse_ok",
         (F.col("parse_ok") / F.col("n")).alias("parse_rate"),
+        (F.col("n") - F.col("parse_ok")).alias("failures"),
         F.coalesce("failed_ids", empty).alias("failed_ids"),
     )
 

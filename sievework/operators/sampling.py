@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import family, type_from_key
 
-SLICES = 64
+#: Slices of a group's order: so many, and one more for every ``SLICE_ROWS`` rows of all.
+SLICES, SLICE_ROWS = 64, 100_000
 
 
 def shuffled(seed: int, *keys: str) -> Column:
@@ -29,8 +30,10 @@ def ranked(rows: DataFrame, groups: Sequence[str], seed: int, key: str, name: st
     """Adds ``name``: 1, 2, ... inside each group in the seeded order, and ``size``, the
     number of the group's rows. Slices are ranges of the hash, so the order is global."""
     order = shuffled(seed, key)
-    place = F.floor((order / F.lit(2.0**64) + 0.5) * SLICES).cast("int")
-    staged = rows.withColumn("_order", order).withColumn("_slice", F.least(place, F.lit(SLICES - 1)))
+    # Counted inside the plan, so that slices stay small however many rows there are.
+    slices = rows.agg((F.floor(F.count("*") / SLICE_ROWS) + SLICES).alias("_slices")).scalar()
+    place = F.floor((order / F.lit(2.0**64) + 0.5) * slices).cast("int")
+    staged = rows.withColumn("_order", order).withColumn("_slice", F.least(place, (slices - 1).cast("int")))
     counts = staged.groupBy(*groups, "_slice").agg(F.count("*").alias("_n"))
     own = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
     earlier = own.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -65,9 +68,8 @@ def balanced(rows: DataFrame, key: str = "task_key", strategy: str = "min", fixe
     or ``fixed``. Small groups repeat cyclically."""
     sizes = rows.groupBy(key).count()
     if strategy in ("min", "max"):
-        need = F.broadcast(sizes.agg((F.min if strategy == "min" else F.max)("count").alias("need")))
-        staged = ranked(rows, [key], seed, by).crossJoin(need)
-        return repeated(staged, F.col("need")).drop("need", "size")
+        need = sizes.agg((F.min if strategy == "min" else F.max)("count").alias("need")).scalar()
+        return repeated(ranked(rows, [key], seed, by).withColumn("_need", need), F.col("_need")).drop("_need", "size")
     if not strategy.startswith("fixed"):
         raise ValueError(f"unknown strategy: {strategy}")
     if not fixed or fixed <= 0:
