@@ -41,7 +41,7 @@ def tasks(spark: SparkSession, n: int, formats: Sequence[str] = ("JSON",), first
     paths = F.create_map(*(x for name in names for x in (F.lit(name), F.array(*map(F.lit, PATHS.get(name, ARTICLE_PATHS))))))
     kind = F.element_at(F.array(*map(F.lit, names)), turn)
     return spark.range(n).select(
-        F.lpad((F.col("id") + first).cast("string"), 6, "0").alias("task_id"),
+        F.format_string("%06d", F.col("id") + first).alias("task_id"),
         F.concat(F.lit("Please output "), kind, F.lit(" code.\n\nTask:\nDescribe a made-up article.\n")).alias("query"),
         F.lit("").alias("feature_requirements"),
         F.concat(F.lit("Text to "), kind, F.lit(" (mock)")).alias("task_name"),

@@ -22,8 +22,15 @@ def json_lines(spark: SparkSession, path: str | Sequence[str], schema: str, leni
 def json_array(spark: SparkSession, path: str, schema: str, lenient: bool = False) -> DataFrame:
     """A file that is one array of objects. Elements that are no objects fail the read, or
     are left out if ``lenient``."""
-    mode = "DROPMALFORMED" if lenient else "FAILFAST"
-    return spark.read.schema(schema).option("multiLine", True).json(path, mode=mode)
+    if not lenient:
+        return spark.read.schema(schema).option("multiLine", True).json(path, mode="FAILFAST")
+    # Dropping malformed records would drop the whole array, so elements are told apart here.
+    whole = spark.read.text(path, wholetext=True)
+    items = F.from_json("value", "array<string>")
+    kinds = F.transform(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>"), F.schema_of_variant)
+    element = whole.select(F.explode(F.arrays_zip(items.alias("text"), kinds.alias("kind"))).alias("x")).select("x.*")
+    objects = element.where(F.startswith("kind", F.lit("OBJECT")))
+    return objects.select(F.from_json("text", schema).alias("row")).where("row IS NOT NULL").select("row.*")
 
 
 #: Names that configurations use for a file that is one array.
@@ -121,7 +128,8 @@ def run_summaries(spark: SparkSession, folder: str) -> DataFrame:
         .option("pathGlobFilter", "*.summary.json")
         .option("multiLine", True)
         .json(folder, mode="DROPMALFORMED")
-        .withColumn("path", F.col("_metadata.file_path"))
+        # File paths are quoted like urls, in which a plus sign stands for itself.
+        .withColumn("path", F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
     )
     parts = F.split("path", "/")
     return rows.select(

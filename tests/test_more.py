@@ -90,3 +90,41 @@ def test_zipped_arrow(spark, tmp_path):
     assert found.agg(F.sum("x")).first()[0] == 6
     with pytest.raises(FileNotFoundError):
         readers.zipped_arrow(spark, str(tmp_path / "d.zip"), "test", str(tmp_path / "none"))
+
+
+def test_soft_matches_are_those_of_the_kernel(spark):
+    from sievework.plans import queries as plans
+
+    rows = generators.completions(spark.read.parquet(f"{SF}/part.parquet")).select("id", "generation", "output_type", "body").collect()
+    found = {r.id: r for r in plans.queries()["reward_soft_matches"](spark, SF).collect()}
+    assert len(found) == len(rows)
+    for r in rows:
+        want = scores.components(r.generation, r.output_type, r.body)
+        assert (found[r.id].match, found[r.id].match_soft) == (want["match"], round(want["match_soft"], 6))
+
+
+def test_places_follow_the_work_order(spark, monkeypatch):
+    from sievework.operators import preparing
+
+    monkeypatch.setattr(sampling, "SLICE_ROWS", 10)
+    tasks = spark.createDataFrame([(k, ["csv", "json", "odd", None][k % 4]) for k in range(90)], "task_id long, output_type string")
+    rows = preparing.variants_of(tasks, 3)
+    placed = preparing.work_places(rows).orderBy("place").collect()
+    ordered = rows.orderBy(*preparing.work_order(rows)).collect()
+    assert [r.place for r in placed] == list(range(1, 271))
+    known = [(r.task_id, r.variant) for r in placed if r.output_type]
+    assert known == [(r.task_id, r.variant) for r in ordered if r.output_type]
+
+
+def test_both_yaml_loaders_agree():
+    import yaml
+
+    from sievework.functions import formats
+
+    texts = [
+        "a: 1\nb: [x, 'y', 2.50, 0x1f, 1e3, yes, ~]", "a: b: c", "- 1\n-  - 2\n - 3", "\tx: 1", "x:\ty", "'it''s'", '"\\u00e9\\x41"', "a: |\n  b\n  c\n",
+        "? k\n: v", "&a x: *a", "a: 2020-01-01", "{a: [1, 2}", "--- 1\n--- 2", "", "%YAML 1.2\n---\na", "a: !!python/object:x 1", "k: >\n folded\n text", "\u2028a: 1",
+    ]
+    for text in texts:
+        plain, mixed = formats.attempt(yaml.safe_load, text), formats.attempt(formats.READERS["YAML"].read, text)
+        assert plain == mixed, text
