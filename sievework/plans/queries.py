@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import constructed, relational, roundtrips  # noqa: F401  (its queries join those of relational)
+from . import constructed, relational, roundtrips, tabletexts  # noqa: F401  (the last two add to those of relational)
 
 
 def queries() -> dict[str, relational.Query]:

@@ -19,6 +19,37 @@ def json_lines(spark: SparkSession, path: str | Sequence[str], schema: str, leni
     return spark.read.schema(schema).json(paths, mode=mode)
 
 
+def bad_lines(spark: SparkSession, path: str | Sequence[str], schema: str) -> DataFrame:
+    """``file, line, text`` of the lines that are no records, lines counted from 1.
+
+    Lines of a split of a file come in order, so a line's number is its place in its split
+    and the number of lines in the file's earlier splits; only counts are shuffled."""
+    paths = [path] if isinstance(path, str) else list(path)
+    fields = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    split = ["file", "start"]
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"),
+        "value",
+        (F.coalesce(fields["_bad"].isNotNull(), F.lit(True)) & (F.trim("value") != "")).alias("bad"),
+    )
+    sizes = lines.groupBy(*split).agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    found = lines.where("bad").join(before, split)
+    return found.select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), F.col("value").alias("text"))
+
+
+def checked_json_lines(spark: SparkSession, path: str | Sequence[str], schema: str) -> DataFrame:
+    """As ``json_lines``, but checked at once: the error names file and line of the first
+    line that is no record."""
+    first = bad_lines(spark, path, schema).orderBy("file", "line").first()
+    if first:
+        raise ValueError(f"{first['file']}:{first['line']}: no record: {first['text'][:200]}")
+    return json_lines(spark, path, schema)
+
+
 def json_array(spark: SparkSession, path: str, schema: str, lenient: bool = False) -> DataFrame:
     """A file that is one array of objects. Elements that are no objects fail the read, or
     are left out if ``lenient``."""

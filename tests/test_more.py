@@ -128,3 +128,13 @@ def test_both_yaml_loaders_agree():
     for text in texts:
         plain, mixed = formats.attempt(yaml.safe_load, text), formats.attempt(formats.READERS["YAML"].read, text)
         assert plain == mixed, text
+
+
+def test_strict_lines_name_the_bad_one(spark, tmp_path):
+    path = tmp_path / "a.jsonl"
+    path.write_text('{"a": 1}\n\n{"a": 2}\n{"a": \n{"a": "x"}\n')
+    assert [(r.line, r.text) for r in readers.bad_lines(spark, str(path), "a long").orderBy("line").collect()] == [(4, '{"a": '), (5, '{"a": "x"}')]
+    with pytest.raises(ValueError, match="a.jsonl:4"):
+        readers.checked_json_lines(spark, str(path), "a long")
+    path.write_text('{"a": 1}\n{"a": 2}\n')
+    assert readers.checked_json_lines(spark, str(path), "a long").count() == 2
