@@ -311,3 +311,48 @@ def test_hot_keys_give_the_same_join(spark, monkeypatch):
         monkeypatch.setattr(common, "HOT", hot)
         for how, rows in want.items():
             assert sorted(map(str, common.joined(left, right, ["key"], "right", "n", how).collect())) == rows
+
+
+def test_simhash_of_larger_tables_is_brute_force(tables):
+    """Groups by all pairs of distinct fingerprints, block by block."""
+    for sf in ("sf0.1", "check_h"):
+        found = simhash.near_duplicates(tables("documents", sf)).toPandas()
+        points, at = np.unique(np.array([int(x, 16) for x in found.fingerprint], np.uint64), return_inverse=True)
+        pairs = []
+        for begin in range(0, len(points), 2000):
+            a, b = np.nonzero(np.bitwise_count(points[begin : begin + 2000, None] ^ points[None, :]) <= 3)
+            pairs.append((a + begin, b))
+        groups = simhash.local_components(len(points), pairs)
+        least = found.assign(group=groups[at]).groupby("group").doc_id.min()
+        assert (found.component_id.to_numpy() == least.loc[groups[at]].to_numpy()).all()
+
+
+def exact_groups(rows):
+    """Least doc_ids of groups of distinct texts, by an exact join: similar sets share one of
+    their rarest shingles."""
+    of_text = {}
+    for doc_id, text in rows:
+        of_text[text or ""] = min(doc_id, of_text.get(text or "", doc_id))
+    texts = list(of_text)
+    sets = [np.unique(simhash.shingle_hashes(text, 5)) for text in texts]
+    values, counts = np.unique(np.concatenate(sets), return_counts=True)
+    index, pairs = {}, []
+    for k in sorted(range(len(texts)), key=lambda k: len(sets[k])):
+        own, n = sets[k], len(sets[k])
+        rare = own[np.lexsort((own, counts[np.searchsorted(values, own)]))][: n - int(np.ceil(0.8 * n)) + 1].tolist()
+        for other in {j for value in rare for j in index.get(value, ())} if n else ():
+            common = len(np.intersect1d(own, sets[other], assume_unique=True))
+            if common >= 0.8 * (n + len(sets[other]) - common):
+                pairs.append((k, other))
+        for value in rare if n else ():
+            index.setdefault(value, []).append(k)
+    least = {}
+    for text, group in zip(texts, closure(len(texts), pairs)):
+        least[group] = min(of_text[text], least.get(group, of_text[text]))
+    return sorted(least.values())
+
+
+def test_deduplicate_of_a_larger_table_is_an_exact_join(tables):
+    rows = tables("documents", "sf0.1")
+    kept = sorted(r.doc_id for r in simhash_text.deduplicate(rows).select("doc_id").collect())
+    assert kept == exact_groups([(r.doc_id, r.text) for r in rows.select("doc_id", "text").collect()])
