@@ -23,6 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts_table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """An input table of texts, for work that is heavy for each text: if its files have
+    fewer parts with rows (row groups) than there are cores, rows are dealt over all cores.
+    Large tables have more parts and are read as they are; results are the same."""
+    rows = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    full = rows.groupBy(F.spark_partition_id()).count().limit(cores).count()  # reads no column
+    return rows if full >= cores else rows.repartition(cores)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
