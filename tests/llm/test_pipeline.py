@@ -1,5 +1,5 @@
 import corpus_pipeline
-from sievework.llm import queries
+from sievework.llm import common, queries
 
 
 def test_stages_and_queries():
@@ -38,3 +38,12 @@ def test_run_takes_awkward_and_empty_tables(spark, docs, no_docs, labels, tmp_pa
         rows = corpus_pipeline.run(spark, str(folder))
         assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
         assert (rows.count() > 0) == (name == "awkward")
+
+
+def test_tables_of_few_parts_are_dealt(spark, docs, no_docs, tmp_path):
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = common.texts_table(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and rows.columns == docs.columns
+    assert sorted(map(str, rows.collect())) == sorted(map(str, docs.collect()))
+    no_docs.write.parquet(str(tmp_path / "none.parquet"))
+    assert common.texts_table(spark, str(tmp_path), "none").count() == 0
