@@ -1,5 +1,6 @@
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from sievework.llm import common, embedding_dedup, graph, simhash, simhash_text
 
@@ -172,6 +173,34 @@ def test_false_candidates_hide_no_pair_of_edited_copies(spark):
     assert kept_ids(spark, texts) == sorted(set(groups_of(texts)))
 
 
+def test_two_passes_over_large_shards_lose_no_link(spark, monkeypatch):
+    """Groups in which many classes stay outside of the largest component."""
+    texts = [text for seed in range(2) for text in edited_copies(seed)]
+    want = sorted(set(groups_of(texts)))
+    for chunk in (7, 40):
+        monkeypatch.setattr(simhash_text, "CHUNK", chunk)
+        left, plain = [], simhash_text._left_over
+        monkeypatch.setattr(simhash_text, "_left_over", lambda *given: left.append(plain(*given)) or left[-1])
+        assert kept_ids(spark, texts) == want
+        assert left[0].count() > 0
+        monkeypatch.undo()
+
+
+def test_one_large_group_needs_no_second_pass(spark, monkeypatch):
+    """One word of 200 differs, so every chunk is linked with the first."""
+    base = [f"w{k}" for k in range(200)]
+    texts = [" ".join(base[:k] + [f"n{k}"] + base[k + 1 :]) for k in range(200)]
+    monkeypatch.setattr(simhash_text, "CHUNK", 10)
+    left, met = [], []
+    plain_left, plain_met = simhash_text._left_over, simhash_text._met
+    monkeypatch.setattr(simhash_text, "_left_over", lambda *given: left.append(plain_left(*given)) or left[-1])
+    monkeypatch.setattr(simhash_text, "_met", lambda *given: met.append(given[0]) or plain_met(*given))
+    assert kept_ids(spark, texts) == [0]
+    assert left[0].count() == 0
+    rows = met[0].groupBy("key").agg(F.count("*").alias("n"), F.sum(F.size("others")).alias("dealt"))
+    assert all(r.dealt <= 4 * r.n for r in rows.collect())  # in proportion, not one copy for each chunk
+
+
 def test_short_texts_with_few_words_more_are_linked(spark):
     rng = np.random.default_rng(3)
     texts = []
