@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import packing, resampling, simhash_text, toxicity
+from sievework.llm import packing, resampling, simhash, simhash_text, toxicity
 from sievework.llm.common import stored, table, texts_table
 
 
@@ -30,8 +30,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts stays (5-word shingles, similarity 0.8)."""
-    return simhash_text.deduplicate(docs)
+    """One document of each group of texts stays. Linked are SimHash fingerprints 3 bits apart
+    or less, by vantage-point trees, and 5-word shingle sets of a similarity of 0.8."""
+    return simhash_text.deduplicate(docs, reach=simhash.RADIUS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

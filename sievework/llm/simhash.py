@@ -308,7 +308,11 @@ def in_chunks(rows: DataFrame, shard: str, point: str, chunk: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, n_words: int = WORDS, reach: int = RADIUS) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row; ``component_id`` is the least
     doc_id that can be reached over links, the row itself included."""
-    prints = stored(fingerprints(docs, n_words), "fingerprints")
+    return grouped(stored(fingerprints(docs, n_words), "fingerprints"), reach)
+
+
+def grouped(prints: DataFrame, reach: int = RADIUS) -> DataFrame:
+    """The same of rows that have their fingerprints already (``doc_id, point``, stored)."""
     points = prints.groupBy("point").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     points = stored(points, "points")
     links = stored(linked(points, reach), "links")

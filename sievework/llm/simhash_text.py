@@ -1,12 +1,19 @@
-"""Near-duplicate texts of a given similarity of shingle sets, by shared minima of hashes.
+"""Near-duplicate texts by SimHash fingerprints and by the similarity of shingle sets.
 
-``simhash.near_duplicates`` links fingerprints few bits apart. Texts whose 5-word shingle
-sets have a Jaccard similarity of 0.8 differ in about 15 % of the bits of a fingerprint
-(short texts in many more), too many for a limit on bits that loses no pair. So
-fingerprints decide nothing here:
+Texts are linked in two ways, and components are made of the links of both:
 
 1. Rows with equal texts (by two 64-bit hashes) are one class.
-2. A class has ``BANDS`` keys, each made of ``ROWS`` minima of its shingle hashes; two
+2. Where ``reach`` is given, classes whose fingerprints (those of ``simhash``) are that many
+   bits apart or less are linked, by the vantage-point trees of ``simhash.grouped``. No
+   such pair is lost, and none has to pass another check.
+3. Classes whose shingle sets have a Jaccard similarity of ``similarity`` or more are linked
+   as well. At 0.8 they differ in about 15 % of the bits of a fingerprint (short texts in
+   many more), so a reach of few bits does not find most of them, and no tree can part points
+   at a reach that does.
+
+The third step:
+
+a. A class has ``BANDS`` keys, each made of ``ROWS`` minima of its shingle hashes; two
    classes of similarity 0.8 share at least one key with a probability of 0.99999. The classes
    of one key are a shard. Keys of the very same classes are one shard. Shards above
    ``CHUNK`` classes are cut into chunks and compared in two passes, so no task is unbounded.
@@ -16,16 +23,16 @@ fingerprints decide nothing here:
    and all of it, in chunks again. A pair of the shard is either inside that component or
    met, so nothing is dropped. A shard of edited copies of one text is done after the first
    pass; one of texts without links still takes all its pairs.
-3. A task gets whole shingle sets and gives a spanning forest of all its pairs whose exact
+b. A task gets whole shingle sets and gives a spanning forest of all its pairs whose exact
    Jaccard similarity reaches the threshold (``similar_links``). Pairs are verified before
    the forest is taken, so a false candidate hides no pair.
-4. The pairs of these forests are joined to components.
 
-So the one loss are pairs that share no key: (1 - s**3)**16 of those of similarity s, one in
-100,000 at 0.8 and fewer above.
+So the one loss are pairs of the third step that share no key: (1 - s**3)**16 of those of
+similarity s, one in 100,000 at 0.8 and fewer above.
 
-Null texts are empty texts; equal empty texts are copies. Texts of fewer words than a
-shingle are one shingle. Texts are taken whole, however long. Further columns stay as they
+Null texts are empty texts; equal empty texts are copies. Texts without words have no
+shingles: the third step links them with nothing, their fingerprint is zero. Texts of fewer
+words than a shingle are one shingle. Texts are taken whole, however long. Further columns stay as they
 are; names that begin with an underscore are this module's own. An empty table gives no
 rows. Of each component the row with the least (doc_id, text hashes) stays, of repeated rows
 one; a null doc_id comes before all others.
@@ -43,7 +50,8 @@ from pyspark.sql import functions as F
 
 from .common import batched, joined, sized, stored, texts
 from .graph import components
-from .simhash import LANES, shingle_hashes
+from .simhash import LANES, fingerprint, grouped, shingle_hashes
+from .simhash import WORDS as PRINT_WORDS
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -75,21 +83,23 @@ def text_key() -> list[Column]:
     return [F.xxhash64(text).alias("_text_1"), F.xxhash64(F.lit(1), text).alias("_text_2")]
 
 
-def _sketches(n_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _sketches(n_words: int, prints: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batched(batches):
-            keys, sizes = [], []
+            keys, sizes, points = [], [], []
             for text in texts(batch):
                 hashes = np.unique(shingle_hashes(text, n_words))
                 keys.append(band_keys(hashes).view(np.int64) if len(hashes) else [])
                 sizes.append(len(hashes))
+                points.append(fingerprint(shingle_hashes(text, PRINT_WORDS)) if prints else 0)
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(name) for name in ("doc_id", "_text_1", "_text_2")),
                     pa.array(keys, pa.list_(pa.int64())),
                     pa.array(sizes, pa.int64()),
+                    pa.array(np.array(points, np.uint64).view(np.int64)),
                 ],
-                ["doc_id", "_text_1", "_text_2", "keys", "size"],
+                ["doc_id", "_text_1", "_text_2", "keys", "size", "point"],
             )
 
     return run
@@ -171,12 +181,13 @@ def _shingle_sets(n_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
-def _rows(docs: DataFrame, n_words: int) -> DataFrame:
-    """Every row's doc_id, text hashes, keys and number of shingles."""
+def _rows(docs: DataFrame, n_words: int, prints: bool) -> DataFrame:
+    """Every row's doc_id, text hashes, keys, number of shingles and (if asked for) fingerprint."""
     named = docs.select("doc_id", "text", *text_key())
     doc_id = docs.schema["doc_id"].dataType.simpleString()
     sketched = named.mapInArrow(
-        _sketches(n_words), f"doc_id {doc_id}, _text_1 long, _text_2 long, keys array<long>, size long"
+        _sketches(n_words, prints),
+        f"doc_id {doc_id}, _text_1 long, _text_2 long, keys array<long>, size long, point long",
     )
     return stored(sketched, "sketches")
 
@@ -266,16 +277,28 @@ def _left_over(wide: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def deduplicate(docs: DataFrame, n_words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def fingerprint_pairs(classes: DataFrame, reach: int) -> DataFrame:
+    """``a, b``: ids of classes, which connect what fingerprints ``reach`` bits apart or less connect."""
+    named = grouped(classes.select(F.col("id").alias("doc_id"), "point"), reach)
+    return named.where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+
+
+def deduplicate(
+    docs: DataFrame, n_words: int = WORDS, similarity: float = SIMILARITY, reach: int | None = None
+) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    classes = _rows(docs, n_words).groupBy(*TEXT).agg(
+    classes = _rows(docs, n_words, reach is not None).groupBy(*TEXT).agg(
         F.min(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id")).alias("first"),
         F.count("*").alias("copies"),
         F.any_value("keys").alias("keys"),
         F.any_value("size").alias("size"),
+        F.any_value("point").alias("point"),
     )
     classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "text-classes")
-    links = stored(similar_pairs(docs, classes, n_words, similarity), "verified")
+    links = similar_pairs(docs, classes, n_words, similarity)
+    if reach is not None:
+        links = fingerprint_pairs(classes, reach).unionByName(links)
+    links = stored(links, "links")
     groups = components(links).withColumnRenamed("node", "id").withColumn("_one", F.lit(1))
     own = joined(classes.select("id", *TEXT, "first", "copies"), groups, ["id"], "text-groups", "_one", "left")
     own = stored(own.withColumn("component", F.coalesce("component", "id")), "grouped-texts")

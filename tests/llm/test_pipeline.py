@@ -1,3 +1,6 @@
+import numpy as np
+from test_duplicates import brute_fingerprint, closure, shingles
+
 import corpus_pipeline
 from sievework.llm import common, queries
 
@@ -47,3 +50,43 @@ def test_tables_of_few_parts_are_dealt(spark, docs, no_docs, tmp_path):
     assert sorted(map(str, rows.collect())) == sorted(map(str, docs.collect()))
     no_docs.write.parquet(str(tmp_path / "none.parquet"))
     assert common.texts_table(spark, str(tmp_path), "none").count() == 0
+
+
+def test_near_copies_are_those_of_fingerprints_and_of_shingle_sets(spark, docs, no_docs):
+    """Groups by all pairs: op7's fingerprints 3 bits apart or less, and similar shingle sets."""
+    rng = np.random.default_rng(17)
+
+    def edited(words, times):
+        words = list(words)
+        for at in rng.choice(len(words), times, replace=False):
+            words[at] = f"n{rng.integers(0, 10**9)}"
+        return words
+
+    texts = []
+    for _ in range(250):
+        base = [f"w{k}" for k in rng.integers(0, 10**9, 200)]
+        other = edited(base, 6)  # below 0.8
+        texts += [" ".join(words) for words in (base, other, edited(other, 2))]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for rows in (made, docs, no_docs):
+        given = [(r.doc_id, r.text or "") for r in rows.select("doc_id", "text").collect()]
+        distinct = sorted({text for _, text in given})
+        prints, sets = [brute_fingerprint(text) for text in distinct], [shingles(text) for text in distinct]
+        close, similar = [], []
+        for a in range(len(distinct)):
+            for b in range(a):
+                if (prints[a] ^ prints[b]).bit_count() <= 3:
+                    close.append((a, b))
+                if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    similar.append((a, b))
+        group = dict(zip(distinct, closure(len(distinct), close + similar)))
+        want = {}
+        for doc_id, text in given:
+            want[group[text]] = min(want.get(group[text], doc_id), doc_id)
+        kept = corpus_pipeline.drop_near_copies(spark, rows, "")
+        assert kept.columns == rows.columns
+        assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(want.values())
+        if rows is made:  # each kind of link joins groups that the other leaves apart
+            n_groups = len(set(group.values()))
+            assert n_groups < len(set(closure(len(distinct), close)))
+            assert n_groups < len(set(closure(len(distinct), similar)))
