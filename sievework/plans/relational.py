@@ -251,7 +251,7 @@ scored AS (SELECT *, 0.2e0 * render_score + 0.8e0 * key_score AS final FROM verd
 
 
 def _completions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generators.completions(read(spark, sf_dir, "part"))
+    return generators.completions(readers.dealt(read(spark, sf_dir, "part")))
 
 
 @query(f"{COMPLETIONS} SELECT id, output_type, generation FROM comp")

@@ -19,6 +19,18 @@ def json_lines(spark: SparkSession, path: str | Sequence[str], schema: str, leni
     return spark.read.schema(schema).json(paths, mode=mode)
 
 
+#: Rows of which each is a small text's work in Python, for one task.
+TASK_ROWS = 50_000
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """A table's rows in even parts, for work that is heavy for each row: as many as there
+    are cores, or one for every ``TASK_ROWS`` rows if these are more. A table of narrow rows
+    lies in few row groups however many rows it has, and a row group is one task's."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(cores, -(-rows.count() // TASK_ROWS)))  # the count reads no column
+
+
 def bad_lines(spark: SparkSession, path: str | Sequence[str], schema: str) -> DataFrame:
     """``file, line, text`` of the lines that are no records, lines counted from 1.
 
