@@ -18,7 +18,7 @@ def before_python(text):
     return tree[tree.index("ArrowEvalPython") :]
 
 
-@pytest.mark.parametrize("name", ["reward_matches", "reward_soft_matches", "progress_windows"])
+@pytest.mark.parametrize("name", ["reward_matches", "reward_soft_matches", "progress_windows", "reward_by_keys"])
 def test_rows_are_dealt_before_python(spark, name):
     """The table is one row group, which one task would read and parse."""
     assert "Exchange" in before_python(plan(QUERIES[name](spark, SF)))
