@@ -11,12 +11,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .formats import BLOCK_ANY, FENCE_ENDS, MARK
+from .formats import ANSWER_LINE, BLOCK_ANY, FENCE_ENDS, FENCE_LINES, MARK
 from .prompts import FORMAT_NAMES, TARGET_RULES, WORD
 from .trees import TOML_DOTTED
 
 #: What Python strips: Unicode white space and the four separators.
 _BLANK = r"(?U)[\s\x1c-\x1f]"
+#: The same characters one by one; U+3000 is the last of them.
+BLANKS = "".join(filter(str.isspace, map(chr, range(0x3001))))
 
 
 def col(value: Column | str) -> Column:
@@ -32,6 +34,11 @@ def strip(value: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(col(value), rf"\A{_BLANK}+", ""), rf"{_BLANK}+\z", "")
 
 
+def trimmed(value: Column | str) -> Column:
+    """As ``strip``, in one pass whatever blanks stand inside a long text."""
+    return F.btrim(col(value), F.lit(BLANKS))
+
+
 def filled(value: Column | str) -> Column:
     """The stripped text, or null if nothing is left."""
     return F.nullif(strip(value), F.lit(""))
@@ -165,6 +172,25 @@ def only_a_block(value: Column | str) -> Column:
     return first_block(value).isNotNull() & filled(around_block(value)).isNull()
 
 
+def _spaced(pattern: str, flags: str) -> str:
+    """The pattern of Python's in which white space is what Python takes for it."""
+    return f"(?U{flags})" + pattern.replace(r"\s", r"[\s\x1c-\x1f]")
+
+
+def answer_payload(value: Column | str, name: Column | str) -> Column:
+    """As ``formats.answer_payload``: the last block, or what follows a marker line, or what
+    begins with the format's first sign, or the text without lines of fences."""
+    given = trimmed(text(value))
+    fenced, marker = has_fence(given), _spaced(ANSWER_LINE, "imds")
+    block = F.when(fenced, F.try_element_at(F.regexp_extract_all(given, F.lit(_spaced(BLOCK_ANY, "s")), F.lit(1)), F.lit(-1)))
+    after = F.when(F.rlike(given, F.lit(marker)), F.regexp_extract(given, f"{marker}(.*)", 1))
+    begun = F.lit(None).cast("string")
+    for own, sign in (("JSON", r"[{\[]"), ("XML", "<")):
+        begun = F.when(col(name) == own, F.coalesce(F.nullif(F.regexp_extract(given, f"(?s){sign}.*", 0), F.lit("")), given)).otherwise(begun)
+    bare = F.when(fenced, F.regexp_replace(given, _spaced(FENCE_LINES, "md"), "")).otherwise(given)
+    return F.coalesce(trimmed(block), trimmed(after), begun, trimmed(bare))
+
+
 def is_flow_style(value: Column | str) -> Column:
     return F.rlike(text(value), F.lit(r"[{}\[\]]"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import udfs
-from ..functions.columns import ESCAPES, INLINE_TYPES, escape_counts, family, rate_or_null, type_from_key
+from ..functions.columns import ESCAPES, INLINE_TYPES, answer_payload, escape_counts, family, rate_or_null, type_from_key
 
 
 def by_type(rows: DataFrame) -> DataFrame:
@@ -107,21 +107,25 @@ def task_stats(rows: DataFrame) -> DataFrame:
 
 def escapes(rows: DataFrame, output: str = "output", kind: str = "format") -> DataFrame:
     """Long rows (dataset, format, usable, escape_type, n) with n of 0 left in, so that each
-    checked type is reported. ``rows`` has dataset, format, usable and the output."""
-    body = udfs.answer_payload(F.col(output), F.col(kind))
+    checked type is reported. ``rows`` has dataset, format, usable and the output. Of the
+    texts only those of TOML go to Python, so its memory does not depend on long ones."""
+    body = answer_payload(output, kind)
     staged = rows.select("dataset", kind, "usable", body.alias("_body"))
     empty = F.array().cast("array<struct<escape_type:string,n:bigint>>")
     found = F.lit(None).cast("array<struct<escape_type:string,n:bigint>>")
     for name in ESCAPES:
         own = escape_counts("_body", name)
         found = F.when(F.col(kind) == name, own).otherwise(found)
-    inline = F.when(F.col(kind) == "TOML", udfs.inline_tables("_body"))
+    toml = F.col(kind) == "TOML"
+    inline = F.when(toml, udfs.inline_tables(F.when(toml, F.col("_body"))))
     staged = staged.withColumn("_found", F.coalesce(found, empty)).withColumn("_inline", inline)
     more = F.array(
         *(F.struct(F.lit(name).alias("escape_type"), F.col(f"_inline.{name}").alias("n")) for name in INLINE_TYPES)
     )
     every = F.when(F.col("_inline").isNotNull(), F.concat("_found", more)).otherwise(F.col("_found"))
-    return staged.select("dataset", F.col(kind).alias("format"), "usable", F.inline(every))
+    # Without ``outer`` the optimizer filters by the size of the arrays, counting all anew.
+    long = staged.select("dataset", F.col(kind).alias("format"), "usable", F.inline_outer(every))
+    return long.where("escape_type IS NOT NULL")
 
 
 def escape_stats(rows: DataFrame) -> DataFrame:
