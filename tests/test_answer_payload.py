@@ -10,6 +10,7 @@ from sievework.functions import columns as C
 from sievework.functions import formats
 from sievework.operators import reports
 from sievework.plans import queries as plans
+from sievework.sources import writers
 from test_plans import plan
 
 SF = "/root/testdata/sf0.001"
@@ -58,3 +59,11 @@ def test_inline_tables_are_those_of_toml_alone(spark):
     rows = spark.createDataFrame([("d", kind, True, "a = {b = 1}") for kind in ("TOML", "XML")], "dataset string, format string, usable boolean, output string")
     found = reports.escapes(rows).where("escape_type LIKE 'toml_inline%'").groupBy("format").agg(F.sum("n").alias("n")).collect()
     assert [(r.format, r.n) for r in found] == [("TOML", 2)]
+
+
+def test_written_summaries_run_no_python(spark, monkeypatch):
+    plans_of_files = []
+    written = writers.csv_with_header
+    monkeypatch.setattr(writers, "csv_with_header", lambda rows, *given: (plans_of_files.append(plan(rows)), written(rows, *given)))
+    assert plans.queries()["csv_summaries_again"](spark, SF).count() == 9
+    assert len(plans_of_files) == 1 and "Python" not in plans_of_files[0]
